@@ -10,6 +10,7 @@ from quillspark.llm.op5_rules import op5_quality_rules
 from quillspark.llm.op6_mix import op6_mix_sources
 from quillspark.llm.op7_pack import op7_best_fit_packing
 from quillspark.llm.op8_count import op8_token_counts
+from quillspark.llm.op9_repeats import op9_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_minhash_dedup, op4_cover_tree, op5_quality_rules, op6_mix_sources, op7_best_fit_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_minhash_dedup, op4_cover_tree, op5_quality_rules, op6_mix_sources, op7_best_fit_packing, op8_token_counts, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}

@@ -54,6 +54,18 @@ def test_near_duplicates(case):
     assert got(near_duplicates(df), "n_shingles", "component_id", "kept") == brute.near([r[:2] for r in rows])
 
 
+def test_repeats(case):
+    from quillspark.llm.op9_repeats import dedup, without_repeats
+
+    rows, df = case
+    want = brute.substring([r[:2] for r in rows])
+    assert got(dedup(df), "n_words", "n_removed", "kept_sha256") == want
+    out = without_repeats(df).collect()
+    assert {r.doc_id: (r.n_removed, len(brute.words(r.text))) for r in out} == {d: (k, n - k) for d, (n, k, _) in want.items()}
+    given = {d: t for d, t, _ in rows}
+    assert all(r.text == given[r.doc_id] for r in out if not r.n_removed)
+
+
 def test_rules(spark, case):
     from quillspark.llm.op5_rules import rules
 
