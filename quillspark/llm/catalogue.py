@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.llm.op1_quality import op1_quality_classifier
+from quillspark.llm.op10_brown import op10_brown_lm
 from quillspark.llm.op2_warc import op2_warc
 from quillspark.llm.op3_minhash import op3_minhash_dedup
 from quillspark.llm.op4_cover import op4_cover_tree
@@ -12,5 +13,5 @@ from quillspark.llm.op7_pack import op7_best_fit_packing
 from quillspark.llm.op8_count import op8_token_counts
 from quillspark.llm.op9_repeats import op9_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_minhash_dedup, op4_cover_tree, op5_quality_rules, op6_mix_sources, op7_best_fit_packing, op8_token_counts, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_minhash_dedup, op4_cover_tree, op5_quality_rules, op6_mix_sources, op7_best_fit_packing, op8_token_counts, op9_substring_dedup, op10_brown_lm)}
 ORACLES: dict[str, str] = {}

@@ -89,7 +89,7 @@ def similarity(n_less: np.ndarray, n_more: np.ndarray, size_a: np.ndarray, size_
     return best
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, d1, d2 (128-bit hash of the lower-cased words), n_shingles, regs (the registers' bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 for c, seed in zip(cols[:2], (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)):
                     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(h * np.uint64(seed) + place * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)))
                     c.append((run[w.at[1:]] - run[w.at[:-1]] + w.n_words.astype(np.uint64)).view(np.int64))
-                sets = shingles(w)
+                sets = shingles(w, shingle)
                 cols[2].append(np.array([len(s) for s in sets], np.int64))
                 cols[3] += [registers(s).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(np.concatenate(c or [np.empty(0, np.int64)])) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "d1", "d2", "n_shingles", "regs"])
@@ -147,7 +147,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Equal word sequences are one node from the start, named by their smallest doc_id, so groups of copies cost no pairs.
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     work = Work(spark, "minhash")
-    named = work.put(sketch(docs))
+    named = work.put(sketch(docs, shingle))
     full = named.where("n_shingles > 0 and doc_id is not null")
     first = work.put(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
     member = work.put(named.drop("regs").join(first, ["d1", "d2"], "left"))
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in K.texts_in_parts(b["text"], 1 << 20):
-                sets = shingles(K.split(b["text"][i:j]))
+                sets = shingles(K.split(b["text"][i:j]), shingle)
                 at = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([b["doc"][i:j], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["doc", "set"])
 

@@ -66,6 +66,44 @@ def test_repeats(case):
     assert all(r.text == given[r.doc_id] for r in out if not r.n_removed)
 
 
+def test_language_model(case):
+    from quillspark.llm.op10_brown import score
+
+    rows, df = case
+    out = score(df).collect()
+    want = brute.base_scores([r[:2] for r in rows])
+    assert {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in out} == {d: v[:4] for d, v in want.items()}
+    assert all(r.base_score == pytest.approx(want[r.doc_id][4], rel=1e-9) and r.score < 0 for r in out)
+
+
+def test_language_model_beats_base(spark):
+    out = catalogue.QUERIES["op10_brown_lm"](spark, "/root/testdata/sf0.01").where("held_out")
+    r = out.selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b").first()
+    assert r.s > r.b + 0.1, r
+
+
+def test_pipeline(spark):
+    import zlib
+
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a = P.quality_stage(spark, docs, SF)
+    b = P.near_duplicate_stage(spark, a, SF)
+    rows = [(r.doc_id, r.text) for r in b.collect()]
+    c = P.substring_stage(spark, b, SF)
+    want = brute.substring(rows)
+    left = {r.doc_id: len(brute.words(r.text)) for r in c.collect()}
+    assert left == {d: n - k for d, (n, k, _) in want.items() if n > k or not n}
+    d = P.mixing_stage(spark, c, SF)
+    assert c.columns == d.columns == docs.columns
+    times = {}
+    for r in d.collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert set(times) <= set(left) and max(times.values()) <= 3
+    assert P.run(spark, SF).count() > 0 and zlib
+
+
 def test_rules(spark, case):
     from quillspark.llm.op5_rules import rules
 
