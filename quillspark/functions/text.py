@@ -1,0 +1,218 @@
+"""Text rules as Column expressions. Null counts as empty text; patterns treat letters and spaces as Unicode has them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Categories in order, the first whose keyword occurs wins.
+CATEGORIES = [
+    ("글로벌 어학 & 영어", ["영어", "회화", "english", "speaking", "grammar", "voca", "토익", "toeic", "오픽", "이디엄"]),
+    ("보고서", ["보고서", "결과보고", "현황보고", "출장보고", "동향", "점검결과"]),
+    ("기획서", ["기획서", "제안서", "사업계획", "추진계획", "마스터플랜"]),
+    ("매뉴얼", ["매뉴얼", "가이드", "지침", "규정", "절차서", "사용설명서", "이용안내"]),
+    ("회의록", ["회의록", "의사록", "간담회", "토의", "의결"]),
+    ("전자무역 & 비즈니스", ["무역", "trade", "bpr", "isp", "peppol", "내국신용장", "구매확인서", "수출", "수입", "통관", "선적", "운송", "ktnet", "utradehub", "인코텀즈"]),
+    ("경영 & 전략 기획", ["경영", "전략", "분석", "마케팅", "세일즈", "기획", "사업계획", "컨설팅", "dbr", "조직", "성과", "맥킨지", "리더십"]),
+    ("AI & 테크놀로지", ["ai", "llm", "인공지능", "코딩", "파이썬", "개발", "아키텍처", "api", "mcp", "에이전트", "클라우드", "데이터베이스"]),
+    ("인문·신앙 & 라이프", ["인문", "철학", "신앙", "성경", "교회", "명언", "인생", "자기계발", "독서", "서평", "에세이"]),
+    ("기술문서", ["기술명세", "시스템설계", "규격서", "api명세", "인프라"]),
+]
+DEFAULT_CATEGORY = "일반 지식 & 도구"
+# Symbols, applied in order.
+SYMBOLS = [("(tm)", "™"), ("(TM)", "™"), ("+-", "±"), ("->", "→"), ("<-", "←"), (">=", "≥"), ("<=", "≤"), ("!=", "≠"), ("deg C", "℃")]
+LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("æ", "ae"), ("œ", "oe")]
+INVISIBLE = "\ufeff\u200b\u200c\u200d\u2060"
+# Digits misread as letters.
+CONFUSIONS = [("I", "1"), ("l", "1"), ("S", "5"), ("B", "8"), ("G", "6"), ("O", "0")]
+# A line that opens a Markdown block.
+BLOCK_START = r"(?U)^(?:\s*#{1,6}\s|\s*[-*+•◦▪▫※▶▷]\s|\s*\d+[.)]\s|\s*>\s|\s*\||\s*```|\s*[-*_]{3,}\s*$)"
+# Tag variants and their standard form.
+SYNONYMS = {
+    "노트북lm": "NotebookLM", "notebooklm": "NotebookLM", "노트북-lm": "NotebookLM", "로컬lc": "내국신용장", "로컬-lc": "내국신용장",
+    "local-lc": "내국신용장", "로컬-l-c": "내국신용장", "내국-신용장": "내국신용장", "구매-확인서": "구매확인서", "mro-대행사": "MRO-대행사",
+    "mro대행사": "MRO-대행사", "mcp": "모델-컨텍스트-프로토콜", "모델-컨텍스트-프로토콜": "모델-컨텍스트-프로토콜", "vibe-coding": "바이브-코딩",
+    "바이브코딩": "바이브-코딩", "ktnet": "KTNET", "uth": "uTradeHub", "utradehub": "uTradeHub", "stl": "스마트무역원장",
+    "smart-trade-ledger": "스마트무역원장", "llm": "LLM", "ocr": "OCR", "agent": "AI에이전트", "ai-agent": "AI에이전트", "에이전트": "AI에이전트",
+    "dbr": "동아비즈니스리뷰", "분석의힘": "분석의-힘", "세일즈입문": "세일즈-입문",
+}
+
+
+def text(c: Column | str) -> Column:
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+
+
+def lines(c: Column) -> Column:
+    return F.split(c, "\n", -1)
+
+
+def tidy(c: Column) -> Column:
+    """Line ends to \\n; outside code fences line tails trimmed and runs of three or more line ends made two; one final line end."""
+    plain = F.regexp_replace(F.regexp_replace(text(c), "\r\n", "\n"), "\r", "\n")
+    part = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)[^\S\n]+(?=\n|$)", ""), "\n{3,}", "\n\n")
+    done = F.array_join(F.transform(F.split(plain, "```", -1), lambda x, i: F.when(i % 2 == 0, part(x)).otherwise(x)), "```")
+    return F.concat(strip(done), F.lit("\n"))
+
+
+def language(c: Column) -> Column:
+    """ko, en or mixed by the share of Hangul among Hangul and ASCII letters; ko where there is neither."""
+    ko, latin = F.regexp_count(c, F.lit("[가-힣]")), F.regexp_count(c, F.lit("[a-zA-Z]"))
+    share = ko / F.nullif(ko + latin, F.lit(0))
+    return F.when(share.isNull() | (share > 0.7), "ko").when(share < 0.2, "en").otherwise("mixed")
+
+
+def category(c: Column, name: Column | None = None, whole_words: bool = False) -> Column:
+    """The first category one of whose keywords occurs in the name or the first 3,000 characters, lower-cased."""
+    x = F.lower(F.concat(name if name is not None else F.lit(""), F.lit(" "), F.substring(text(c), 1, 3000)))
+    out = None
+    for label, words in CATEGORIES:
+        pattern = "|".join(w.lower() for w in words)
+        hit = x.rlike(rf"(?U)\b(?:{pattern})\b" if whole_words else pattern)
+        out = F.when(hit, label) if out is None else out.when(hit, label)
+    return out.otherwise(DEFAULT_CATEGORY)
+
+
+def title(c: Column, fallback: Column) -> Column:
+    """The first heading or short plain line of over two characters that isn't a structural label; else the fallback."""
+    stripped = F.transform(lines(text(c)), lambda x: F.trim(x))
+    bare = F.filter(stripped, lambda x: x.startswith("#") | (F.length(x).between(2, 60) & ~x.rlike(r"^(?:[-*|>\[]|```|http|값)")))
+    named = F.transform(bare, lambda x: F.trim(F.regexp_replace(x, "^#+", "")))
+    good = F.filter(named, lambda x: (F.length(x) > 2) & ~x.rlike(r"(?i)^(?:PART|CHAPTER|SECTION|제\s*\d+\s*[장절편]|부록|페이지|슬라이드|시트)"))
+    return F.coalesce(F.get(good, F.lit(0)), fallback)
+
+
+def summary(c: Column, most: int = 220) -> Column:
+    """A marked summary quote, else the first two plain lines, cut at `most` characters."""
+    quote = F.nullif(F.trim(F.regexp_extract(text(c), r">\s*(?:📌|🎯)\s*(?:\*\*[^*\n]+\*\*:?\s*)?([^\n]+)", 1)), F.lit(""))
+    plain = F.filter(F.transform(lines(text(c)), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(?:[#\-*|>\[]|```|http|값|ISBN|PART|CHAPTER|SECTION|부록|감사의)"))
+    first = F.nullif(F.array_join(F.slice(plain, 1, 2), " "), F.lit(""))
+    return F.substring(F.coalesce(quote, first, F.lit("문서 내용 요약 정보가 없습니다.")), 1, most)
+
+
+def entities(c: Column, most: int = 6) -> Column:
+    """Companies, organisations, then acronyms; the first `most` distinct ones of two or more characters, sorted."""
+    found = F.concat(
+        F.regexp_extract_all(c, F.lit(r"(?:주식회사\s+|㈜|\(주\))([가-힣A-Za-z0-9]+)"), 1),
+        F.regexp_extract_all(c, F.lit(r"([가-힣A-Za-z0-9]+(?:위원회|공사|진흥원|협회|재단|연구원|은행|대학|본부|센터))"), 1),
+        F.regexp_extract_all(c, F.lit(r"([A-Z]{2,}(?:[-_][A-Z0-9]+)*)"), 1),
+    )
+    return F.array_sort(F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) >= 2)), 1, most))
+
+
+def doc_id(path: Column, changed: Column, day: str) -> Column:
+    """doc_<day>_<first 8 digits of sha256(path:changed)>."""
+    return F.concat(F.lit(f"doc_{day}_"), F.substring(F.sha2(F.concat_ws(":", path, changed.cast("string")), 256), 1, 8))
+
+
+def symbols(c: Column) -> Column:
+    """Invisible characters out, ligatures and ASCII symbols replaced. (NFKC isn't a built-in: see functions.unicode.)"""
+    c = F.translate(F.translate(c, "\u00a0", " "), INVISIBLE, "")
+    for a, b in [*LIGATURES, *SYMBOLS]:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def confusion(c: Column) -> Column:
+    """Letters between digits that stand for digits, and I or 1 between small letters."""
+    for wrong, right in CONFUSIONS:
+        c = F.regexp_replace(c, f"(?<=[0-9]){wrong}(?=[0-9])", right)
+    return F.regexp_replace(c, "(?<=[a-z])[I1](?=[a-z])", "l")
+
+
+def hyphens(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)([가-힣])-\n\s*([가-힣])", "$1$2"), r"(?U)([a-zA-Z])-\n\s*([a-zA-Z])", "$1$2")
+
+
+def artifacts(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, "(?U)\\s*ᆞ+\\s*", " "), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+
+
+def page_labels(c: Column) -> Column:
+    """Lines that are only a page label or a number between dashes go; runs of three or more line ends become two."""
+    for p in (r"\s*#{1,6}\s*페이지\s*\d+\s*", r"\s*\[페이지\s*\d+\]\s*", r"\s*\d+\s*페이지\s*", r"\s*-\s*\d+\s*-\s*"):
+        c = F.regexp_replace(c, rf"(?m)^{p}$\n?", "")
+    return F.regexp_replace(c, "\n{3,}", "\n\n")
+
+
+def punctuation(c: Column) -> Column:
+    c = F.regexp_replace(c, r"[ \t]+([.,!?。！？、])", "$1")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?<![A-Za-z])\.([가-힣])", ". $1"), r"([,!?。！？])([가-힣])", "$1 $2")
+    for a, b in ((r"\(\s+", "("), (r"\s+\)", ")"), (r"\[\s+", "["), (r"\s+\]", "]"), ("…+", "...")):
+        c = F.regexp_replace(c, f"(?U){a}", b)
+    return c
+
+
+def noise_lines(c: Column) -> Column:
+    """Lines that aren't blank but hold fewer than two letters or digits go."""
+    kept = F.filter(lines(c), lambda x: (F.trim(x) == "") | (F.length(F.regexp_replace(x, r"(?U)[^\w가-힣]", "")) >= 2))
+    return F.array_join(kept, "\n")
+
+
+def canonical(slug: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
+    return F.coalesce(F.element_at(table, F.lower(slug)), slug)
+
+
+def slug(c: Column) -> Column:
+    x = F.regexp_replace(F.translate(F.regexp_replace(c, r"\(.*?\)", ""), "/·", "  "), r"(?U)\s+", " ")
+    x = F.regexp_replace(F.regexp_replace(F.trim(x), " ", "-"), r"[^0-9A-Za-z가-힣_\-]", "")
+    return F.regexp_replace(F.regexp_replace(x, "-{2,}", "-"), "^-+|-+$", "")
+
+
+def foreign_glyphs(c: Column) -> Column:
+    """Control, extended Cyrillic, Indic or private-use characters: signs of a broken font map."""
+    return c.rlike(r"[\x00-\x08\x0e-\x1f\x{460}-\x{52f}\x{900}-\x{dff}\x{e000}-\x{f8ff}]")
+
+
+def garbage_line(c: Column) -> Column:
+    """A line without any word of two letters, or a short one with 30 % or more characters outside the usual scripts."""
+    solid = F.regexp_replace(c, r"(?U)\s", "")
+    odd = F.length(F.regexp_replace(solid, r"[0-9A-Za-z가-힣.,!?'\"()\-:;%~·…“”‘’]", ""))
+    no_word = ~c.rlike("[가-힣]{2,}|[A-Za-z]{2,}")
+    return (solid != "") & solid.rlike(r"(?U)[^\d\p{Punct}]") & (no_word | ((F.length(solid) <= 60) & (odd >= 0.3 * F.length(solid))))
+
+
+def table(rows: Column) -> Column:
+    """array<array<string>> to a Markdown grid, or tab-separated lines where a cell is long or there is one column."""
+    clean = F.transform(rows, lambda r: F.transform(r, lambda v: F.trim(F.replace(F.replace(F.coalesce(v, F.lit("")), F.lit("\n"), F.lit("<br>")), F.lit("|"), F.lit("\\|")))))
+    full = F.filter(clean, lambda r: F.exists(r, lambda v: v != ""))
+    width = F.array_max(F.transform(full, lambda r: F.size(r)))
+    wide = F.exists(full, lambda r: F.exists(r, lambda v: (F.length(v) > 40) | v.contains("<br>")))
+    padded = F.transform(full, lambda r: F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    head = F.transform(F.get(padded, F.lit(0)), lambda v, i: F.when(v == "", F.concat(F.lit("열 "), (i + 1).cast("string"))).otherwise(v))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width.cast("int")))
+    grid = F.array_join(F.concat(F.array(line(head), rule), F.transform(F.slice(padded, F.lit(2), F.greatest(F.size(padded), F.lit(1))), line)), "\n")
+    flat = F.array_join(F.transform(full, lambda r: F.array_join(F.filter(r, lambda v: v != ""), "  \t  ")), "\n")
+    return F.when(F.size(full) == 0, "").when(wide | (width == 1), flat).otherwise(grid)
+
+
+def joined_paragraphs(c: Column) -> Column:
+    """Lines broken inside a sentence joined by a space. The decision reads the line joined so far, hence a fold."""
+    block = lambda x: x.rlike(BLOCK_START)
+
+    def joins(prev: Column, nxt: Column) -> Column:
+        a, b = strip(prev), strip(nxt)
+        short = (F.length(a) < 10) & ~a.rlike("(?:은|는|이|가|을|를|에|의|로|으로|와|과|도|만|고|며|면|서|등|,)$")
+        chapter = b.rlike(r"(?i)^(?:PART|CHAPTER|SECTION|제\s*\d+\s*[장절편]|부록|감사의\s*글|\d+[.．]\s|\|)")
+        ended = a.rlike(r"[.!?。！？…:;]$") & ~(a.rlike("^[“\"‘']") & ~a.rlike("[”\"’']$"))
+        return (a != "") & (b != "") & ~short & ~chapter & ~block(prev) & ~block(nxt) & ~ended & ~nxt.rlike("^(?:  |\t|　)")
+
+    rtrim, ltrim = (lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), (lambda x: F.regexp_replace(x, r"(?U)^\s+", ""))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+
+    def step(acc: Column, x: Column) -> Column:
+        go = F.coalesce(joins(acc["cur"], x), F.lit(False))
+        done = F.when(go | acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
+        return F.struct(done.alias("done"), F.when(go, F.concat(rtrim(acc["cur"]), F.lit(" "), ltrim(x))).otherwise(x).alias("cur"))
+
+    return F.aggregate(lines(c), zero, step, lambda acc: F.array_join(F.concat(acc["done"], F.array(acc["cur"])), "\n"))
+
+
+def refined(c: Column) -> Column:
+    """The generic cleaning chain for plain text."""
+    return F.regexp_replace(punctuation(joined_paragraphs(noise_lines(page_labels(artifacts(hyphens(symbols(c))))))), "[ \t]{2,}", " ")

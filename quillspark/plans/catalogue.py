@@ -1 +1,257 @@
-QUERIES, ORACLES = {}, {}
+"""Named queries over the test tables, each with DuckDB SQL for the same rows where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as X
+from quillspark.functions.unicode import nfkc
+from quillspark.operators import corpus as O
+from quillspark.sources import readers, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_category_sql = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, '{w.lower()}')" for w in words) + f" THEN '{label}'" for label, words in X.CATEGORIES) + f" ELSE '{X.DEFAULT_CATEGORY}' END"
+_ko, _en = "len(regexp_extract_all(t, '[가-힣]'))", "len(regexp_extract_all(t, '[a-zA-Z]'))"
+_language_sql = f"CASE WHEN {_ko} + {_en} = 0 OR {_ko} > 0.7 * ({_ko} + {_en}) THEN 'ko' WHEN {_ko} < 0.2 * ({_ko} + {_en}) THEN 'en' ELSE 'mixed' END"
+#: Documents in which the defects that cleaning rules repair are put in, as the tables hold none.
+_mixed = "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN repeat('한글 ', CAST(n_chars AS INTEGER)) || text ELSE repeat('가나다라마 ', CAST(n_chars AS INTEGER) // 12) || text END"
+
+
+@query(f"SELECT doc_id, {_language_sql} AS language FROM (SELECT doc_id, {_mixed} AS t FROM documents)")
+def doc_language(t):
+    return t("documents").select("doc_id", X.language(F.expr(_mixed.replace("//", "div"))).alias("language"))
+
+
+@query(f"SELECT doc_id, {_category_sql} AS category FROM (SELECT doc_id, lower(' ' || substr(text, 1, 3000)) AS x FROM documents)")
+def doc_category(t):
+    return t("documents").select("doc_id", X.category(F.col("text")).alias("category"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, [trim(y, ' ') FOR y IN string_split(text, chr(10))] AS ls FROM documents),
+c AS (SELECT doc_id, [trim(regexp_replace(y, '^#+', ''), ' ') FOR y IN ls IF starts_with(y, '#') OR (length(y) BETWEEN 2 AND 60 AND NOT regexp_matches(y, '^(?:[-*|>\[]|```|http|값)'))] AS cs FROM l),
+g AS (SELECT doc_id, [y FOR y IN cs IF length(y) > 2 AND NOT regexp_matches(y, '^(?i)(?:PART|CHAPTER|SECTION|제\s*\d+\s*[장절편]|부록|페이지|슬라이드|시트)')] AS gs FROM c)
+SELECT doc_id, coalesce(gs[1], 'document ' || doc_id) AS title FROM g""")
+def doc_title(t):
+    return t("documents").select("doc_id", X.title(F.col("text"), F.concat(F.lit("document "), F.col("doc_id").cast("string"))).alias("title"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, [trim(y, ' ') FOR y IN string_split(text, chr(10))] AS ls FROM documents),
+p AS (SELECT doc_id, [y FOR y IN ls IF y <> '' AND NOT regexp_matches(y, '^(?:[#\-*|>\[]|```|http|값|ISBN|PART|CHAPTER|SECTION|부록|감사의)')] AS ps FROM l)
+SELECT doc_id, substr(coalesce(nullif(array_to_string(ps[1:2], ' '), ''), '문서 내용 요약 정보가 없습니다.'), 1, 220) AS summary FROM p""")
+def doc_summary(t):
+    return t("documents").select("doc_id", X.summary(F.col("text")).alias("summary"))
+
+
+@query(r"""WITH e AS (SELECT doc_id, regexp_extract_all(text, '(?:주식회사\s+|㈜|\(주\))([가-힣A-Za-z0-9]+)', 1) || regexp_extract_all(text, '([가-힣A-Za-z0-9]+(?:위원회|공사|진흥원|협회|재단|연구원|은행|대학|본부|센터))', 1) || regexp_extract_all(text, '([A-Z]{2,}(?:[-_][A-Z0-9]+)*)', 1) AS es FROM documents),
+u AS (SELECT doc_id, unnest(es) AS v, generate_subscripts(es, 1) AS i FROM e),
+f AS (SELECT doc_id, v, min(i) AS i FROM u WHERE length(v) >= 2 GROUP BY ALL),
+r AS (SELECT doc_id, v FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 6)
+SELECT d.doc_id, coalesce(string_agg(v, '|' ORDER BY v), '') AS entities FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
+def doc_entities(t):
+    return t("documents").select("doc_id", F.array_join(X.entities(F.col("text")), "|").alias("entities"))
+
+
+@query("SELECT doc_id, 'doc_20260101_' || substr(sha256(source || ':' || CAST(n_chars AS VARCHAR)), 1, 8) AS id FROM documents")
+def doc_id_hash(t):
+    return t("documents").select("doc_id", X.doc_id(F.col("source"), F.col("n_chars"), "20260101").alias("id"))
+
+
+@query(f"SELECT category, language, lang, count(*) AS n FROM (SELECT lang, {_category_sql} AS category, {_language_sql} AS language FROM (SELECT lang, text AS t, lower(' ' || substr(text, 1, 3000)) AS x FROM documents)) GROUP BY ALL")
+def category_language_report(t):
+    d = t("documents").withColumn("text", X.tidy(F.col("text")))
+    return d.groupBy(X.category(F.col("text")).alias("category"), X.language(F.col("text")).alias("language"), "lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def category_rollup(t):
+    return t("documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(r"""WITH u AS (SELECT doc_id, unnest(m) AS term, generate_subscripts(m, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\*\*([^*\n]+)\*\*', 1) AS m FROM documents))
+SELECT doc_id, term, count(*) AS n, min(pos) AS first_pos FROM u GROUP BY ALL HAVING count(*) >= 2""")
+def bold_terms(t):
+    return O.bold_terms(t("documents"))
+
+
+@query("""WITH u AS (SELECT doc_id, unnest(m) AS term, generate_subscripts(m, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(substr(text, 1, 4000), '[A-Za-z가-힣]{2,}') AS m FROM documents)),
+c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS p FROM u GROUP BY ALL HAVING count(*) >= 3)
+SELECT doc_id, term, n, rnk FROM (SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rnk FROM c) WHERE rnk <= 20""")
+def top_terms(t):
+    return O.top_terms(t("documents"))
+
+
+_tags = ["LLM", "Local LC", "vibe coding", "smart/trade ledger", "Agent (beta)", "plain tag", "OCR--scan"]
+_tag_sql = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_tags)) + " END"
+_synonym_sql = "CASE lower(s) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SYNONYMS.items()) + " ELSE s END"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, trim(regexp_replace(translate(regexp_replace({_tag_sql}, '\(.*?\)', '', 'g'), '/·', '  '), '\s+', ' ', 'g'), ' ') AS y FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(y, ' ', '-'), '[^0-9A-Za-z가-힣_\-]', '', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM a)
+SELECT {_synonym_sql} AS tag, count(*) AS n FROM b GROUP BY ALL""")
+def canonical_tags(t):
+    return t("documents").select(X.canonical(X.slug(F.expr(_tag_sql))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def _dirty(name: str, spark_expr: str, duck_expr: str, column, duck_result: str) -> None:
+    """A cleaning rule over documents into which its defect is put."""
+    QUERIES[name] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(column(F.expr(spark_expr))).alias("digest"), F.length(column(F.expr(spark_expr))).cast("long").alias("n"))
+    ORACLES[name] = f"SELECT doc_id, md5(y) AS digest, CAST(length(y) AS BIGINT) AS n FROM (SELECT doc_id, {duck_result} AS y FROM (SELECT doc_id, {duck_expr} AS x FROM documents))"
+
+
+_dirty("tidy_text", r"concat('  ', replace(text, '. ', '.  \r\n\n\n\n'), '\r\n ')", r"'  ' || replace(text, '. ', '.  ' || chr(13) || chr(10) || chr(10) || chr(10) || chr(10)) || chr(13) || chr(10) || ' '", X.tidy, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '') || chr(10)")
+_dirty("noise_lines", r"replace(text, '. ', '.\n~\n*a\n\n')", "replace(text, '. ', '.' || chr(10) || '~' || chr(10) || '*a' || chr(10) || chr(10))", X.noise_lines, r"array_to_string([y FOR y IN string_split(x, chr(10)) IF trim(y, ' ') = '' OR length(regexp_replace(y, '[^\p{L}\p{N}_]', '', 'g')) >= 2], chr(10))")
+_dirty("page_label_lines", r"replace(text, '. ', '.\n- 12 -\n3 페이지\n## 페이지 4\n[페이지 5]\n')", "replace(text, '. ', '.' || chr(10) || '- 12 -' || chr(10) || '3 페이지' || chr(10) || '## 페이지 4' || chr(10) || '[페이지 5]' || chr(10))", X.page_labels, r"regexp_replace(replace(x, chr(10) || '- 12 -' || chr(10) || '3 페이지' || chr(10) || '## 페이지 4' || chr(10) || '[페이지 5]' || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")
+_dirty("hyphen_join", r"regexp_replace(text, '([a-z]{3})([a-z]{3})', '$1-\n $2')", r"regexp_replace(text, '([a-z]{3})([a-z]{3})', '\1-' || chr(10) || ' \2', 'g')", X.hyphens, r"regexp_replace(x, '([a-zA-Z])-\n\s*([a-zA-Z])', '\1\2', 'g')")
+_dirty("punct_spacing", "concat(replace(replace(text, ', ', ' , '), '. ', ' .( x ) '), '했다 .그리고 [ 끝 ]…')", "replace(replace(text, ', ', ' , '), '. ', ' .( x ) ') || '했다 .그리고 [ 끝 ]…'", X.punctuation, r"replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+([.,!?。！？、])', '\1', 'g'), '([^A-Za-z])\.([가-힣])', '\1. \2', 'g'), '([,!?。！？])([가-힣])', '\1 \2', 'g'), '\(\s+', '(', 'g'), '\s+\)', ')', 'g'), '\[\s+', '[', 'g'), '\s+\]', ']', 'g'), '…', '...')")
+_dirty("symbol_map", "concat(replace(text, ' the ', ' -> (tm) '), ' 3 >= 2 != 1 +-4 deg C ﬁn œuvre')", "replace(text, ' the ', ' -> (tm) ') || ' 3 >= 2 != 1 +-4 deg C ﬁn œuvre'", X.symbols, "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'st'), 'æ', 'ae'), 'œ', 'oe'), '(tm)', '™'), '(TM)', '™'), '+-', '±'), '->', '→'), '<-', '←'), '>=', '≥'), '<=', '≤'), '!=', '≠'), 'deg C', '℃')")
+_dirty("digit_confusion", "concat(text, ' 1l2 3O4 5S6 7B8 9G0')", "text || ' 1l2 3O4 5S6 7B8 9G0'", X.confusion, r"regexp_replace(replace(x, ' 1l2 3O4 5S6 7B8 9G0', ' 112 304 556 788 960'), '([a-z])[I1]([a-z])', '\1l\2', 'g')")
+_dirty("ocr_artifacts", "replace(text, ' the ', concat(' ᆞᆞ ', char(7)))", "replace(text, ' the ', ' ᆞᆞ ' || chr(7))", X.artifacts, r"replace(regexp_replace(x, '\s*ᆞ+\s*', ' ', 'g'), chr(7), '')")
+
+
+@query("""WITH g AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS up, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS down FROM g WHERE trim(line, ' ') <> ''),
+b AS (SELECT source, doc_id, regexp_replace(lower(line), '[^a-z가-힣]', '', 'g') AS s, least(up, down) <= 2 AS edge FROM l),
+k AS (SELECT DISTINCT source, doc_id, substr(s, CAST(j AS INTEGER), 4) AS gram, edge FROM b, LATERAL (SELECT unnest(range(1, greatest(length(s) - 2, 1))) AS j) WHERE length(s) >= 4),
+p AS (SELECT source, gram, doc_id, bool_or(edge) AS edge FROM k GROUP BY ALL)
+SELECT source, gram, count(*) AS all_df, count(*) FILTER (edge) AS edge_df FROM p GROUP BY ALL""")
+def gram_df(t):
+    return O.gram_frequency(t("documents"), "source", "doc_id")
+
+
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS doc, o_orderkey % 40 AS page, o_orderkey % 40 + o_orderkey % 3 AS value FROM orders)
+SELECT a.doc, a.page, a.value, count(*) AS near FROM m a JOIN m b ON a.doc = b.doc AND a.value - a.page = b.value - b.page AND b.page <> a.page AND abs(b.page - a.page) <= 3 GROUP BY ALL HAVING count(*) >= 2""")
+def page_number_neighbours(t):
+    return O.page_numbers(t("orders").selectExpr("o_custkey doc", "o_orderkey % 40 page", "o_orderkey % 40 + o_orderkey % 3 value"))
+
+
+@query("SELECT conv_id, role, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations) WHERE k = 1")
+def first_part_header(t):
+    return O.first_per(t("conversations").select("conv_id", "role", "turn"), ["conv_id", "role"], [F.col("turn")])
+
+
+@query("""SELECT r_regionkey, '| n_name | n_nationkey |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS grid
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL""")
+def table_render(t):
+    rows = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    cells = F.concat(F.array(F.array(F.lit("n_name"), F.lit("n_nationkey"))), F.transform("x", lambda v: F.array(v["n_name"], v["n_nationkey"].cast("string"))))
+    return rows.select("r_regionkey", X.table(cells).alias("grid"))
+
+
+@query("SELECT r_regionkey, string_agg('• ' || n_name || ': ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS glossary FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def sheet_glossary(t):
+    rows = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    return rows.select("r_regionkey", F.array_join(F.transform("x", lambda v: F.concat(F.lit("• "), v["n_name"], F.lit(": "), v["n_nationkey"].cast("string"))), "\n").alias("glossary"))
+
+
+@query("""SELECT CASE WHEN event_id % 5 <> 0 THEN 'success' WHEN event_id % 15 = 0 THEN 'password_protected' WHEN event_id % 10 = 0 THEN 'corrupted_file' ELSE 'failed' END AS status, count(*) AS n FROM events GROUP BY ALL""")
+def status_report(t):
+    e = t("events").selectExpr("if(event_id % 5 <> 0, 'success', 'failed') status", "case when event_id % 15 = 0 then 'Password needed' when event_id % 10 = 0 then 'file is Corrupt' else null end message")
+    return O.status_report(e)
+
+
+_name = "concat('doc', cast(doc_id as string), '.txt')"
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0")
+def incremental_skip(t):
+    d = t("documents")
+    src = d.selectExpr("doc_id", f"concat('D:/in/', source, '/', {_name}) path", f"concat(source, '/', {_name}) rel_path", f"{_name} name", "source parent")
+    old = d.selectExpr("doc_id", f"if(doc_id % 3 = 0, concat('e:/IN/', source, '/', {_name}), null) source_path", f"if(doc_id % 7 = 0, concat(source, '/', {_name}), null) source_rel_path", f"if(doc_id % 11 = 0, upper({_name}), null) source_file", "if(doc_id % 11 = 0, source, null) source_parent")
+    return O.not_converted(src, old.where("doc_id % 3 = 0 or doc_id % 7 = 0 or doc_id % 11 = 0")).select("doc_id")
+
+
+@query("""WITH f AS (SELECT source AS stem, lang AS ext, CAST(doc_id AS VARCHAR) AS name, row_number() OVER (PARTITION BY source ORDER BY lang, CAST(doc_id AS VARCHAR)) AS n FROM documents)
+SELECT stem, ext, name, CASE n WHEN 1 THEN stem || '.md' ELSE stem || ' (' || n || ').md' END AS target FROM f""")
+def target_names(t):
+    return O.target_names(t("documents").selectExpr("source stem", "lang ext", "cast(doc_id as string) name"))
+
+
+_block = "l_orderkey % 50 AS page, l_partkey % 600 AS cx, l_suppkey % 800 AS cy"
+
+
+@query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_block} FROM lineitem), t AS (SELECT p_partkey % 50 AS page, p_partkey % 500 AS x0, p_partkey % 700 AS y0 FROM part WHERE p_partkey % 9 = 0)
+SELECT l_orderkey, l_linenumber FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = b.page AND b.cx BETWEEN x0 - 5 AND x0 + 55 AND b.cy BETWEEN y0 - 5 AND y0 + 25)""")
+def blocks_outside_tables(t):
+    b = t("lineitem").selectExpr("l_orderkey", "l_linenumber", *_block.split(", "))
+    return O.outside_tables(b, t("part").where("p_partkey % 9 = 0").selectExpr("p_partkey % 50 page", "p_partkey % 500 x0", "p_partkey % 700 y0", "p_partkey % 500 + 50 x1", "p_partkey % 700 + 20 y1")).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_partkey % 600 AS cx, CAST(CASE WHEN l_partkey % 600 >= 400 THEN 2 WHEN l_partkey % 600 >= 200 THEN 1 ELSE 0 END AS INTEGER) AS col, count(*) AS n FROM lineitem GROUP BY ALL")
+def column_assignment(t):
+    return t("lineitem").selectExpr("l_partkey % 600 cx").withColumn("col", O.column_of(F.col("cx"), F.array(F.lit(200), F.lit(400)))).groupBy("cx", "col").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, min(l_partkey) AS x0, max(l_partkey) AS x1, min(l_suppkey) AS y0, max(l_suppkey) AS y1 FROM lineitem GROUP BY ALL")
+def bbox_extents(t):
+    return t("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("x0"), F.max("l_partkey").alias("x1"), F.min("l_suppkey").alias("y0"), F.max("l_suppkey").alias("y1"))
+
+
+@query("SELECT doc_id, ls[len(ls) // 2 + 1] AS median FROM (SELECT doc_id, list_sort([length(y) FOR y IN string_split(text, chr(10))]) AS ls FROM documents)")
+def upper_median(t):
+    return t("documents").select("doc_id", O.upper_median(F.transform(X.lines(F.col("text")), lambda x: F.length(x))).cast("long").alias("median"))
+
+
+@query("""WITH l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
+r AS (SELECT conv_id, turn, sum(CASE WHEN p IS NOT NULL AND p <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT conv_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(turn) AS first_turn FROM r GROUP BY ALL""")
+def paragraph_islands(t):
+    from pyspark.sql import Window
+
+    changed = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")) != F.col("role")
+    rows = t("conversations").withColumn("changed", changed)
+    return O.islands(rows, "conv_id", "turn", F.col("changed")).groupBy("conv_id", "run").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
+
+
+@query("""SELECT page, round(avg(score) FILTER (score > 0), 6) AS avg_score, CASE WHEN avg(score) FILTER (score > 0) IS NULL THEN 'unknown' WHEN avg(score) FILTER (score > 0) >= 0.85 THEN 'high' WHEN avg(score) FILTER (score > 0) >= 0.65 THEN 'medium' ELSE 'low' END AS grade
+FROM (SELECT l_orderkey AS page, CASE WHEN l_orderkey % 11 = 0 THEN 0.0 ELSE l_quantity / 50 END AS score FROM lineitem) GROUP BY page""")
+def ocr_confidence(t):
+    return O.confidence(t("lineitem").selectExpr("l_orderkey page", "if(l_orderkey % 11 = 0, 0D, l_quantity / 50) score"))
+
+
+@query()
+def paragraph_join(t):
+    return t("documents").select("doc_id", X.joined_paragraphs(F.col("text")).alias("text"))
+
+
+@query()
+def refine_plain(t):
+    return t("documents").select("doc_id", X.refined(nfkc(F.col("text"))).alias("text"))
+
+
+@query()
+def html_to_md(t):
+    pages = t("pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return readers.parse(pages).select("path", "status", "body")
+
+
+@query("SELECT doc_id, '---' || chr(10) || 'id: \"' || doc_id || '\"' || chr(10) || 'source: \"' || source || '\"' || chr(10) || 'tags:' || chr(10) || '  - \"' || lang || '\"' || chr(10) || 'topics: []' || chr(10) || '---' || chr(10) AS front FROM documents")
+def frontmatter_render(t):
+    return t("documents").select("doc_id", sinks.front_matter({"id": F.col("doc_id"), "source": F.col("source")}, {"tags": F.array("lang"), "topics": F.array().cast("array<string>")}).alias("front"))
+
+
+@query("SELECT doc_id, 'source: ' || source AS front, md5(text) AS body FROM documents")
+def frontmatter_split(t):
+    front, body = sinks.split_front_matter(F.concat(F.lit("---\nsource: "), F.col("source"), F.lit("\n---\n"), F.col("text")))
+    return t("documents").select("doc_id", front.alias("front"), F.md5(body).alias("body"))
+
+
+@query("""SELECT doc_id, '# d' || doc_id || chr(10) || chr(10) || '## 문서 개요' || chr(10) || chr(10) || lang || chr(10) || chr(10) || '## 본문 내용' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## 변환 품질' || chr(10) || chr(10) || '- success' || chr(10) AS md FROM documents""")
+def markdown_template(t):
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    return t("documents").select("doc_id", sinks.markdown(name, F.col("lang"), F.concat(F.lit("# "), name, F.lit("\n\n"), F.col("text")), F.lit("success")).alias("md"))
