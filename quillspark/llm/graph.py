@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.store import Work
 
 
+class Forest:
+    """Disjoint sets within one task; edges: the links that joined two of them."""
+
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, pairs: np.ndarray) -> None:
+        """pairs: two rows of nodes."""
+        while pairs.shape[1]:
+            while (self.up[self.up] != self.up).any():
+                self.up = self.up[self.up]
+            a, b = self.up[pairs[0]], self.up[pairs[1]]
+            pairs, a, b = pairs[:, a != b], a[a != b], b[a != b]
+            if not len(a):
+                return
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            _, one = np.unique(high, return_index=True)  # each root is hung once a round
+            self.up[high[one]] = low[one]
+            self.edges += list(zip(pairs[0, one].tolist(), pairs[1, one].tolist()))
+
+
 def components(edges: DataFrame, work: Work) -> DataFrame:
     """edges: a, b (long). One row (node, comp) per node that has an edge; comp is the smallest node reachable.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as K
-from quillspark.llm.graph import components
+from quillspark.llm.graph import Forest, components
 from quillspark.llm.store import Work, release, tune
 
 #: Words of a shingle; percent of similarity that links.
@@ -29,8 +29,9 @@ REGISTERS = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 65534
 #: Pairs whose likeliest similarity is this far below the threshold aren't verified: over 5 standard errors.
 SLACK = 0.22
-#: Rounds that link each bucket to one of its members before buckets still divided are searched in full.
-STAR_ROUNDS = 4
+#: Rounds that link each bucket to one of its members before buckets still divided are searched in full, by tiles of
+#: at most so many texts and shingles a side.
+STAR_ROUNDS, TILE_TEXTS, TILE_SHINGLES = 2, 1024, 500_000
 _seeds = K.mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _mul, _add = _seeds[:REGISTERS] | np.uint64(1), _seeds[REGISTERS:]
 _log_b = math.log(B)
@@ -147,12 +148,69 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b")
 
 
+def _tiles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows: key, doc, comp. Links a, b that connect what is linked in each bucket, found on full sets.
+
+    A bucket is cut into parts by a hash of doc; a tile is a pair of parts. A text goes to as many tiles as there are parts.
+    """
+    sized = rows.join(sets.select("doc", F.size("set").cast("long").alias("n")), "doc")
+    parts = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    cut = rows.join(parts, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("key", "doc", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(sets, "doc")
+
+    def match(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        doc, comp, part = (t[c].to_numpy() for c in ("doc", "comp", "part"))
+        lists = t["set"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        size = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        _, col, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        often = df > 1  # others can't be in an intersection
+        col, row = (np.cumsum(often) - 1)[col[often[col]]], row[often[col]]
+        by_row = np.searchsorted(row, np.arange(len(size) + 1))
+        first = part == part.min()
+        a, b = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(doc)),) * 2
+        _, root = np.unique(comp, return_inverse=True)
+        forest, links, width = Forest(int(root.max()) + 1), [], 4096
+        order = np.argsort(col, kind="stable")
+        cols, rows_ = col[order], row[order]
+        for k in range(0, len(a), 256):
+            mine = a[k : k + 256]
+            common = np.zeros((len(mine), len(b)), np.float32)
+            used = np.unique(np.concatenate([col[by_row[x] : by_row[x + 1]] for x in mine]))
+            place = np.full(int(often.sum()) + 1, -1)
+            for w in range(0, len(used), width):
+                place[:] = -1
+                place[used[w : w + width]] = np.arange(len(used[w : w + width]))
+                lo, hi = np.searchsorted(cols, used[w]), np.searchsorted(cols, used[min(w + width, len(used)) - 1], "right")
+                dense = np.zeros((len(doc), min(width, len(used) - w)), np.float32)
+                p = place[cols[lo:hi]]
+                dense[rows_[lo:hi][p >= 0], p[p >= 0]] = 1
+                common += dense[mine] @ dense[b].T
+            x, y = np.nonzero(100 * common.astype(np.int64) >= percent * (size[mine][:, None] + size[b][None, :] - common.astype(np.int64)))
+            x, y = mine[x], b[y]
+            keep = root[x] != root[y]
+            x, y = x[keep], y[keep]
+            _, one = np.unique(root[x].astype(np.int64) * (len(doc) + 1) + root[y], return_index=True)
+            x, y = x[one], y[one]
+            done = len(forest.edges)
+            of = {(int(root[p]), int(root[q])): (int(doc[p]), int(doc[q])) for p, q in zip(x, y)}
+            forest.join(np.stack((root[x], root[y])))
+            links += [of[e] for e in forest.edges[done:]]
+        return pa.table({"a": pa.array([min(e) for e in links], pa.int64()), "b": pa.array([max(e) for e in links], pa.int64())})
+
+    return cut.groupBy("key", "i", "j").applyInArrow(match, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Equal word sequences are one node from the start, named by their smallest doc_id, so groups of copies cost no pairs.
-    Buckets of equal bands link members to a hub: first the smallest, then others drawn by hash; only pairs that aren't
-    connected yet are looked at. Buckets that are still divided after these rounds are searched in full. Null or empty
+    Buckets of equal bands link members to a hub: first the one with most company, then one drawn by hash; only pairs
+    that aren't connected yet are looked at. Buckets that are still divided after these rounds are searched in full, in
+    tiles that count intersections and return no more links than it takes to connect their texts. Null or empty
     text: no shingles, linked with nothing. Null doc_id: such rows are returned unlinked, kept. Rows that share a doc_id
     are one node.
     """
@@ -165,10 +223,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     member = work.put(named.drop("regs").join(first, ["d1", "d2"], "left"))
     regs = work.put(full.join(first.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("doc"), "n_shingles", "regs").dropDuplicates(["doc"]))
     keys = bands(regs.select("doc", "regs")).repartition("key")
-    shared = keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
+    shared = keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
     buckets = work.put(keys.join(shared, "key"))
     release(spark)
-    some = work.put(buckets.select("doc").distinct())
+    some = work.put(buckets.groupBy("doc").agg(F.sum("n").alias("company")))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,33 +236,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
                 yield pa.RecordBatch.from_arrays([b["doc"][i:j], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["doc", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    sets = work.put(texts.join(some, "doc", "left_semi").mapInArrow(gather, "doc long, set array<long>").where("size(set) > 0").dropDuplicates(["doc"]))
+    sets = work.put(texts.join(some.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(gather, "doc long, set array<long>").where("size(set) > 0").dropDuplicates(["doc"]))
     sketches = work.put(regs.join(some, "doc", "left_semi"))
-    comp, tested, edges = some.withColumn("comp", F.col("doc")), None, None
+    comp, edges = some.withColumn("comp", F.col("doc")), None
     for step in range(STAR_ROUNDS + 1):
-        at = buckets.join(comp, "doc")
-        divided = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct((F.col("doc") if not step else F.xxhash64("doc", F.lit(step))).alias("o"), F.struct("doc", "comp").alias("v"))).alias("h")).where("x < y")
+        at = buckets.drop("n").join(comp, "doc")
+        order = F.struct(-F.col("company") if not step else F.xxhash64("doc", F.lit(step)), "doc", "comp")
+        divided = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(order).alias("h")).where("x < y")
         if step < STAR_ROUNDS:
-            pairs = at.join(divided.select("key", "h.v.*").toDF("key", "hub", "hub_comp"), "key").where("comp <> hub_comp").select("doc", "hub")
+            pairs = at.join(divided.select("key", "h.doc", "h.comp").toDF("key", "hub", "hub_comp"), "key").where("comp <> hub_comp")
+            pairs = work.put(pairs.selectExpr("least(doc, hub) a", "greatest(doc, hub) b").distinct())
+            found = work.put(verified(likely(pairs, sketches, percent), sets, percent))
         else:
-            left = at.join(divided.select("key"), "key", "left_semi").select("key", "doc", "comp")
-            pairs = left.join(left.toDF("key", "hub", "hub_comp"), "key").where("comp < hub_comp").select("doc", "hub")
-        pairs = pairs.selectExpr("least(doc, hub) a", "greatest(doc, hub) b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = work.put(pairs)
-        if pairs.isEmpty():
-            if divided.isEmpty():
-                break
-            continue
-        tested = pairs if tested is None else work.put(tested.unionByName(pairs))
-        found = work.put(verified(likely(pairs, sketches, percent), sets, percent))
+            found = work.put(_tiles(at.join(divided.select("key"), "key", "left_semi").select("key", "doc", "comp"), sets, percent))
         edges = found if edges is None else edges.unionByName(found)
-        if step < STAR_ROUNDS and found.isEmpty():
-            continue
-        comp = work.put(some.join(components(edges, work).toDF("doc", "c"), "doc", "left").select("doc", F.coalesce("c", "doc").alias("comp")))
+        comp = work.put(some.join(components(edges, work).toDF("doc", "c"), "doc", "left").select("doc", "company", F.coalesce("c", "doc").alias("comp")))
         release(spark)
-    comp = comp.toDF("node", "comp")
+    comp = comp.select(F.col("doc").alias("node"), "comp")
     out = member.join(comp, "node", "left").withColumn("component_id", F.coalesce("comp", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.graph import components
+from quillspark.llm.graph import Forest, components
 from quillspark.llm.store import Work, tune
 
 COSINE = 0.9
@@ -114,32 +114,6 @@ class Tree:
         self.last = [np.searchsorted(self.start[k + 1], self.stop[k]) for k in range(self.levels)]
 
 
-class Forest:
-    def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, pairs: np.ndarray) -> None:
-        """pairs: two rows of nodes."""
-        while pairs.shape[1]:
-            while (self.up[self.up] != self.up).any():
-                self.up = self.up[self.up]
-            a, b = self.up[pairs[0]], self.up[pairs[1]]
-            pairs, a, b = pairs[:, a != b], a[a != b], b[a != b]
-            if not len(a):
-                return
-            high, low = np.maximum(a, b), np.minimum(a, b)
-            _, one = np.unique(high, return_index=True)  # each root is hung once a round
-            self.up[high[one]] = low[one]
-            self.edges += list(zip(pairs[0, one].tolist(), pairs[1, one].tolist()))
-
-
 def dual(a: Tree, b: Tree, same: bool, cosine: float, wa: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of each row of a with rows of b and the reverse, and a spanning forest (rows of b count from len(a) on).
 
