@@ -161,15 +161,18 @@ def score(docs: DataFrame) -> DataFrame:
     base_of = total + 0.1 * (distinct + 1)
 
     def rate(t: pa.Table, words: pa.Table) -> pa.Table:
-        listed = words["name"].to_numpy().view(np.uint64)
-        order = np.argsort(listed)
-        listed, known = listed[order], words["c"].to_numpy()[order]
         local: list[tuple] = []
         for i, j in K.texts_in_parts(t["text"], 1 << 20):
             local.append((i, j, *tokens(t["text"].slice(i, j - i))))
         held = t["held"].to_numpy()
+        if not local:
+            return pa.table({c: pa.array([], k) for c, k in zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (t["doc_id"].type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))})
         cols: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        # every word of the block is listed
+        # a word that isn't listed occurs in training in this block only
+        train = np.concatenate([np.repeat(~held[i:j], np.diff(at)) for i, j, _, _, at in local])
+        listed, back = np.unique(np.concatenate([x[2] for x in local]), return_inverse=True)
+        known = np.bincount(back, train, len(listed)).astype(np.int64)
+        known[np.searchsorted(listed, words["name"].to_numpy().view(np.uint64))] = words["c"].to_numpy()
         for i, j, name, ending, at in local:
             c = known[np.searchsorted(listed, name)]
             base = (c + 0.1) / base_of
@@ -184,7 +187,8 @@ def score(docs: DataFrame) -> DataFrame:
         n = t.num_rows
         return pa.table({"doc_id": t["doc_id"], "held_out": pa.array(held), **{k: pa.array(np.concatenate(v) if v else np.empty(0)) for k, v in cols.items()}, "train_tokens": pa.array(np.full(n, total, np.int64))}).select(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    lists = seen.select("block", "name").join(counts.select("name", "c"), "name")
+    lists = seen.select("block", "name", "n").join(counts.select("name", "c"), "name").where("c <> n").select("block", "name", "c")
+    release(spark)
     return docs.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(rate, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
