@@ -10,6 +10,7 @@ reconstructs every record.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.store import Work, tune
 
-#: Bytes of an archive file, about; a reader holds one file at a time.
+#: Bytes of an archive file before compression, about; a reader holds one file at a time.
 FILE_BYTES = 8 << 20
 #: Fixed values of the format.
 VERSION, CLOSE = "WARC/1.1", "\r\n\r\n"
@@ -35,11 +36,12 @@ def digests(column: pa.Array) -> pa.Array:
     return pa.array([digest(x or b"") for x in column.to_pylist()], pa.string())
 
 
-def records(pages: DataFrame, least: int = 0) -> DataFrame:
+def records(pages: DataFrame, least: int = 0, files: int | None = None) -> DataFrame:
     """page_id, url, payload, digest, record_type, refers_to, for pages with page_id, url and html.
 
     least: payloads of fewer bytes are all responses. Of equal payloads the one with the largest page_id is the response;
-    rows that share that page_id are responses alike; rows of null page_id are revisits unless there is no other.
+    rows that share that page_id are responses alike; rows of null page_id are revisits unless there is no other. What
+    decides that is a table without payloads; payloads are shuffled once, by page, which spreads a common one evenly.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
 
@@ -47,9 +49,14 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, digests(b["payload"])], [*b.schema.names, "digest"])
 
-    pages = pages.mapInArrow(add, "page_id long, url string, payload binary, digest string")
-    first = pages.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"))
-    both = pages.join(first, "digest", "left")
+    pages = pages.mapInArrow(add, "page_id long, url string, payload binary, digest string").withColumn("k", F.xxhash64("page_id", "digest"))
+    slim = pages.where(F.octet_length("payload") >= least).select("k", "page_id", "digest").distinct()
+    first = slim.groupBy("digest").agg(F.max("page_id").alias("first"))
+    slim = slim.join(first, "digest").select("k", F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
+    if files:
+        pages = pages.repartition(files, "k")
+    same = (F.col("k") == F.col("k2")) & F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))
+    both = pages.join(slim.withColumnRenamed("k", "k2").hint("shuffle_hash"), same, "left")
     response = F.expr(f"octet_length(payload) < {least} or page_id <=> first")
     return both.select("page_id", "url", "payload", "digest", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("first")).alias("refers_to"))
 
@@ -71,11 +78,10 @@ def encoded(recs: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Archive files of about FILE_BYTES; rows are dealt evenly whatever their payloads share."""
-    recs = records(pages, least)
+    """Gzipped archive files of about FILE_BYTES; rows are dealt evenly whatever their payloads share."""
     total = pages.agg(F.sum(F.octet_length("html") + 500)).first()[0] or 0
-    recs = recs.repartition(max(1, int(total) // FILE_BYTES + 1), F.xxhash64("page_id", "url"))
-    encoded(recs).write.option("lineSep", CLOSE).text(path)
+    recs = records(pages, least, max(1, int(total) // FILE_BYTES + 1))
+    encoded(recs).write.option("lineSep", CLOSE).option("compression", "gzip").text(path)
 
 
 _field = re.compile(rb"^([^:\r\n]+): ?([^\r\n]*)\r$", re.M)
@@ -84,6 +90,7 @@ _field = re.compile(rb"^([^:\r\n]+): ?([^\r\n]*)\r$", re.M)
 def parse(raw: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """Header fields, exact header bytes and block of each record."""
     at, raw = 0, bytes(raw)
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at) + 4
         fields = {k.decode().lower(): v.decode() for k, v in _field.findall(raw, at, end - 2)}
