@@ -24,10 +24,12 @@ from quillspark.llm.store import Work, tune
 COSINE = 0.9
 #: Most vectors of a group, about; vectors sampled for pivots; most pivots.
 GROUP, SAMPLE, PIVOTS = 4096, 2048, 64
-#: Radii of the levels below the root.
-RADII = (1.0, 0.5, 0.25, 0.125)
+#: Radii of the levels below the root. A wider first level would prune nothing: its reach exceeds most distances.
+RADII = (0.5, 0.25, 0.125)
 #: Widens and narrows bounds so that rounding can't drop or admit a pair; such pairs are decided on their cosine.
 EPS = 1e-9
+#: More than single precision can be off in a cosine of unit vectors of up to 1000 dimensions.
+SINGLE = 1e-4
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -88,7 +90,7 @@ class Tree:
         return parent
 
     def __init__(self, x: np.ndarray, parent: np.ndarray) -> None:
-        self.x = x
+        self.x, self.small = x, x.astype(np.float32)
         n = len(x)
         self.levels = len(RADII) + 1
         # order the rows so that each node's rows are a slice; the rows themselves are the lowest level
@@ -140,15 +142,18 @@ def dual(a: Tree, b: Tree, same: bool, cosine: float, wa: np.ndarray, wb: np.nda
             if size[at] > 100_000:  # one dense block
                 ca, cb = np.arange(f_i[at], f_i[at] + n_i[at]), np.arange(f_j[at], f_j[at] + n_j[at])
                 parts = [(ca[:0], cb[:0], np.empty(0))]
-                xa, xb, ra, rb = a.x[a.at[level + 1][ca]], b.x[b.at[level + 1][cb]], a.radius[level + 1][ca], b.radius[level + 1][cb]
-                for mine in (rb == 0, rb > 0):  # one bound for each row and kind of node, then the exact one
+                pa_, pb = a.at[level + 1][ca], b.at[level + 1][cb]
+                xa, xb, ra, rb = a.small[pa_], b.small[pb], a.radius[level + 1][ca], b.radius[level + 1][cb]
+                for mine in (rb == 0, rb > 0):  # a bound for each row and kind of node, in single precision; then the exact one
                     if not mine.any():
                         continue
                     cols, most = np.flatnonzero(mine), rb[mine].max()
+                    right = np.ascontiguousarray(xb[cols].T)
                     for k in range(0, len(ca), 512):
-                        s = xa[k : k + 512] @ xb[cols].T
-                        p, q = np.nonzero(s >= (1 - (near + EPS + ra[k : k + 512] + most) ** 2 / 2)[:, None])
-                        v, p, q = s[p, q], p + k, cols[q]
+                        bound = (1 - (near + EPS + ra[k : k + 512] + most) ** 2 / 2 - SINGLE).astype(np.float32)
+                        hit = np.flatnonzero((xa[k : k + 512] @ right >= bound[:, None]).ravel())
+                        p, q = hit // len(cols) + k, cols[hit % len(cols)]
+                        v = np.einsum("ij,ij->i", a.x[pa_[p]], b.x[pb[q]])
                         ok = 2 - 2 * v <= (near + EPS + ra[p] + rb[q]) ** 2
                         parts.append((ca[p[ok]], cb[q[ok]], v[ok]))
                 to = at + 1
@@ -197,9 +202,9 @@ def dual(a: Tree, b: Tree, same: bool, cosine: float, wa: np.ndarray, wb: np.nda
 
 
 def pivots(sample: np.ndarray, most: int = PIVOTS) -> np.ndarray:
-    """Farthest-first centres, until all of the sample is within the second radius of one."""
+    """Farthest-first centres, until all of the sample is within the first radius of one."""
     out, best = [0], sample @ sample[0]
-    while len(out) < min(most, len(sample)) and best.min() < 1 - RADII[1] ** 2 / 2:
+    while len(out) < min(most, len(sample)) and best.min() < 1 - RADII[0] ** 2 / 2:
         out.append(int(best.argmin()))
         best = np.maximum(best, sample @ sample[out[-1]])
     return sample[out]
