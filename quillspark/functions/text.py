@@ -152,6 +152,26 @@ def noise_lines(c: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def latin_word_lines(c: Column) -> Column:
+    """A line that is one Latin word goes on the end of the line before, if that ends in Latin text."""
+    return F.regexp_replace(c, r"(?<=[A-Za-z’'.,;:-])[ \t]*\n[ \t]*(?=[A-Za-z’'.,;:!?-]{1,20}[ \t]*(?:\n|\z))", " ")
+
+
+def word_per_line(c: Column) -> Column:
+    """Three or more lines in a row of one Hangul word of up to eight letters each become one line."""
+    one = lambda x: x.rlike("^\\s*[“\"'‘(]?[가-힣]{1,8}[.,!?”\"'’)…]*\\s*$")
+    none = F.array().cast("array<string>")
+
+    def flushed(acc: Column) -> Column:
+        return F.concat(acc["done"], F.when(F.size(acc["run"]) >= 3, F.array(F.array_join(acc["run"], " "))).otherwise(acc["run"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(one(x), F.concat(acc["run"], F.array(strip(x)))).otherwise(none)
+        return F.struct(F.when(one(x), acc["done"]).otherwise(F.concat(flushed(acc), F.array(x))).alias("done"), run.alias("run"))
+
+    return F.aggregate(lines(c), F.struct(none.alias("done"), none.alias("run")), step, lambda acc: F.array_join(flushed(acc), "\n"))
+
+
 def canonical(slug: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
     return F.coalesce(F.element_at(table, F.lower(slug)), slug)

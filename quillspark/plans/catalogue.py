@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import entries as E
 from quillspark.functions import text as X
 from quillspark.functions.unicode import nfkc
 from quillspark.operators import corpus as O
+from quillspark.operators import pages as P
 from quillspark.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,3 +257,55 @@ def frontmatter_split(t):
 def markdown_template(t):
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     return t("documents").select("doc_id", sinks.markdown(name, F.col("lang"), F.concat(F.lit("# "), name, F.lit("\n\n"), F.col("text")), F.lit("success")).alias("md"))
+
+
+@query(r"""WITH l AS (SELECT o_custkey AS page, repeat('x', CAST(o_custkey % 40 AS INTEGER)) || ' ' || (o_orderkey % 2000) AS line FROM orders)
+SELECT page, count(*) >= 12 AND avg(length(trim(line))) <= 30 AND avg(CASE WHEN regexp_matches(line, ' [0-9]{1,3}$') THEN 1 ELSE 0 END) >= 0.2 AS contents FROM l GROUP BY page""")
+def contents_pages(t):
+    line = F.expr("concat(repeat('x', int(o_custkey % 40)), ' ', o_orderkey % 2000)")
+    page = t("orders").groupBy(F.col("o_custkey").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    return page.select("page", P.contents_page(F.col("text")).alias("contents"))
+
+
+@query("SELECT conv_id AS doc, count(*) AS pages, CAST(sum(length(trim(substr(coalesce(text, ''), 1, CAST(conv_id % 40 AS INTEGER)), ' '))) AS BIGINT) AS chars, sum(length(trim(substr(coalesce(text, ''), 1, CAST(conv_id % 40 AS INTEGER)), ' '))) < 20 * count(*) AS scan FROM conversations GROUP BY conv_id")
+def scan_report(t):
+    return P.scans(t("conversations").select(F.col("conv_id").alias("doc"), F.expr("substring(text, 1, int(conv_id % 40))").alias("text")))
+
+
+@query(r"""WITH p AS (SELECT conv_id AS doc, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM conversations), q AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY turn DESC) AS back FROM p WHERE x <> '')
+SELECT doc, string_agg(x || CASE WHEN back = 1 THEN '' WHEN regexp_matches(x, '[.!?…:;]$') THEN chr(10) || chr(10) ELSE ' ' END, '' ORDER BY turn) AS body FROM q GROUP BY doc""")
+def page_join(t):
+    return P.joined_pages(t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text"))
+
+
+@query("""WITH l AS (SELECT doc_id AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY line_no) AS up, row_number() OVER (PARTITION BY page ORDER BY line_no DESC) AS down FROM l WHERE trim(line, ' ') <> '')
+SELECT page, CAST(line_no AS INTEGER) AS line_no, line FROM r WHERE least(up, down) <= 2""")
+def edge_rows(t):
+    return P.edge_lines(t("documents").select(F.col("doc_id").alias("page"), "text"))
+
+
+@query("""WITH l AS (SELECT conv_id AS doc, turn AS page, CASE WHEN turn % 2 = 0 THEN 'PART ' || (turn % 3) ELSE role END AS line, turn % 2 = 0 AS part FROM conversations)
+SELECT doc, page, line FROM (SELECT *, row_number() OVER (PARTITION BY doc, line ORDER BY page) AS n FROM l) WHERE NOT part OR n = 1""")
+def part_header_lines(t):
+    line = F.expr("CASE WHEN turn % 2 = 0 THEN concat('PART ', turn % 3) ELSE role END")
+    return P.part_headers(t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.lit(0).alias("line_no"), line.alias("line"))).drop("line_no")
+
+
+@query("""WITH b AS (SELECT l_orderkey AS page, CAST(l_partkey % 5 * 100 AS DOUBLE) AS x0, CAST(l_partkey % 5 * 100 + 40 + l_suppkey % 50 AS DOUBLE) AS x1 FROM lineitem), w AS (SELECT *, min(x0) OVER (PARTITION BY page) AS lo, max(x1) OVER (PARTITION BY page) - min(x0) OVER (PARTITION BY page) AS span FROM b),
+n AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page) AS c FROM w WHERE x1 - x0 <= span * 0.6) WHERE c >= 2), g AS (SELECT page, lo, unnest(range(CAST(floor(span * 0.12) AS BIGINT), CAST(floor(span * 0.88) AS BIGINT))) AS x FROM (SELECT DISTINCT page, lo, span FROM n)),
+e AS (SELECT g.*, x - row_number() OVER (PARTITION BY page ORDER BY x) AS island FROM g WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.page = g.page AND g.x >= floor(n.x0 - n.lo) AND g.x < floor(n.x1 - n.lo)))
+SELECT page, unnest(list_sort(list(m))) AS gutter FROM (SELECT page, lo + (min(x) + max(x) + 1) / 2.0 AS m FROM e GROUP BY page, lo, island HAVING count(*) >= 6) GROUP BY page""")
+def column_gutters(t):
+    return P.gutters(t("lineitem").selectExpr("l_orderkey AS page", "double(l_partkey % 5 * 100) AS x0", "double(l_partkey % 5 * 100 + 40 + l_suppkey % 50) AS x1")).select("page", F.explode("gutters").alias("gutter"))
+
+
+@query()
+def page_bands(t):
+    page = t("lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.collect_list(F.expr("double(l_partkey % 800)")).alias("edges"))
+    return page.withColumn("cuts", P.cuts(F.col("edges"), F.lit(800.0))).select("page", F.size("cuts").alias("n_cuts"), P.band(F.lit(400.0), F.col("cuts")).alias("band"))
+
+
+@query()
+def numbered_books(t):
+    text = F.expr("concat_ws('\n', text, array_join(transform(sequence(1, int(doc_id % 60) + 1), i -> concat(i, ' entry')), '\n'))")
+    return t("documents").select("doc_id", E.chain_length(text).alias("entries")).withColumn("numbered", F.col("entries") >= E.LEAST)
