@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import entries as E
 from quillspark.functions import text as X
 from quillspark.functions.unicode import nfkc
+from quillspark.operators import blocks as B
 from quillspark.operators import corpus as O
 from quillspark.operators import pages as P
 from quillspark.sources import readers, sinks
@@ -309,3 +310,15 @@ def page_bands(t):
 def numbered_books(t):
     text = F.expr("concat_ws('\n', text, array_join(transform(sequence(1, int(doc_id % 60) + 1), i -> concat(i, ' entry')), '\n'))")
     return t("documents").select("doc_id", E.chain_length(text).alias("entries")).withColumn("numbered", F.col("entries") >= E.LEAST)
+
+
+@query()
+def block_paragraphs(t):
+    b = t("conversations").selectExpr("conv_id", "turn", "text", "turn * 30.0D AS y0", "turn * 30.0D + 30 - conv_id % 20 AS y1", "role = 'system' AS is_table")
+    return B.paragraphs(b, ["conv_id"], "turn")
+
+
+@query()
+def scan_rows(t):
+    line = F.expr("named_struct('text', concat('p', l_partkey), 'x0', double(l_suppkey % 500), 'y0', double(l_partkey % 800), 'x1', double(600), 'y1', double(l_partkey % 800 + 5 + l_linenumber * 6))")
+    return t("lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(B.scan_rows(F.collect_list(line)).alias("r")).select("page", F.posexplode("r").alias("row_no", "r")).select("page", "row_no", "r.text", "r.y0", "r.y1")
