@@ -16,7 +16,7 @@ def _nfkc(x: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_nfkc(c))
+    return F.coalesce(_nfkc(F.when(~c.rlike(r"^\p{ASCII}*$"), c)), c)
 
 
 def decode(raw: bytes | None) -> tuple[str, str]:
