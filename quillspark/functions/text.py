@@ -37,6 +37,16 @@ SYNONYMS = {
     "dbr": "동아비즈니스리뷰", "분석의힘": "분석의-힘", "세일즈입문": "세일즈-입문",
 }
 
+# Particles and endings that can't open a line.
+PARTICLES = "은|는|이|가|을|를|에|의|로|으로|와|과|도|만|서|에서|에게|고|며|면|으며|어|아|지|거나|어서|아서|는데|지만|면서|도록|으면|습니다|입니다|합니다"
+ENDINGS = "거나|으며|어서|아서|는데|지만|면서|도록|으면"
+# Words of names and texts of material for learning English, and of technical texts that aren't.
+STUDY_WORDS = "영어 회화 구동사 영작 패턴회화 생활영어 영문법 영어교재 원어민 미국인 외국인 쉐도잉 이디엄 숙어 영어단어 영어표현 이보영 오성식 토마토 해커스 시나공 능률 넥서스 길벗".split() + ["english materials"]
+STUDY_PATTERN = "english|speaking|grammar|toeic|toefl|opic|vocabulary|voca|idioms?|phrasal|conversation"
+STUDY_TITLES = "영어회화 영어단어 영어문법 패턴회화 생활영어 영어교재 toeic toefl".split() + ["03_english materials"]
+STUDY_CUES = ["phrasal verb", "dialogue", "idiom", "grammar in use", "speaking drill", "pronunciation tip"]
+TECH_WORDS = "anthropic openai claude chatgpt gemini llm coding 프롬프트 엔지니어링 바이브코딩 software api agentic 개발자 스타트업 erp 무역원장 notebooklm 노트북lm google 구글 sdlc".split() + ["context engineering", "boris cherny"]
+
 
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -152,6 +162,34 @@ def noise_lines(c: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def margin_noise(c: Column) -> Column:
+    """A line without the two or more short marks before its text, and without stray marks at its ends; block lines stay."""
+    words = F.split(c, " ", -1)
+    mark = lambda w: (strip(w) == "") | ((F.length(strip(w)) <= 3) & ~w.rlike("[가-힣A-Za-z]"))
+    lead = F.array_position(F.transform(words, mark), False)
+    bare = F.when(lead == 0, "").when(lead > 2, F.array_join(F.slice(words, lead, F.size(words)), " ")).otherwise(c)
+    one = F.when((F.size(words) == 1) & (lead == 0), c).otherwise(bare)
+    for pattern, new in ((r"(?U)^[\s*|~^@、。]+", ""), (r"(?U)[\sᆞ~_|@#^*、。]+$", ""), (r"(?U)\s*ᆞ+\s*", " ")):
+        one = F.regexp_replace(one, pattern, new)
+    return F.when(strip(c) == "", "").when(c.rlike(BLOCK_START), c).otherwise(strip(one))
+
+
+def split_particles(c: Column) -> Column:
+    """A particle or ending that opens a line goes back to its word: with a space, or none if it can only be an ending."""
+    c = F.regexp_replace(c, rf"(?U)([가-힣A-Za-z0-9])\n{{1,2}}\s*((?:{PARTICLES})(?:\s|[.,!?]|$))", "$1 $2")
+    return F.regexp_replace(c, rf"(?U)([가-힣])\n{{1,2}}\s*((?:{ENDINGS})(?:\s|[.,!?]|$))", "$1$2")
+
+
+def study_material(c: Column, name: Column) -> Column:
+    """Material for learning English, by its name (path and title), or by two cues in the first 3,000 characters."""
+    name, head = F.lower(text(name)), F.lower(F.substring(text(c), 1, 3000))
+    has = lambda x, words: F.array_contains(F.array(*[x.contains(w) for w in words]), True)
+    cues = sum((head.contains(w).cast("int") for w in STUDY_CUES), F.lit(0))
+    named = has(name, STUDY_WORDS) | name.rlike(rf"(?U)\b(?:{STUDY_PATTERN})\b")
+    tech = has(name, TECH_WORDS)
+    return F.when(tech & ~has(name, STUDY_TITLES), False).otherwise(named | (~tech & (cues >= 2)))
+
+
 def latin_word_lines(c: Column) -> Column:
     """A line that is one Latin word goes on the end of the line before, if that ends in Latin text."""
     return F.regexp_replace(c, r"(?<=[A-Za-z’'.,;:-])[ \t]*\n[ \t]*(?=[A-Za-z’'.,;:!?-]{1,20}[ \t]*(?:\n|\z))", " ")
@@ -184,16 +222,8 @@ def slug(c: Column) -> Column:
 
 
 def foreign_glyphs(c: Column) -> Column:
-    """Control, extended Cyrillic, Indic or private-use characters: signs of a broken font map."""
-    return c.rlike(r"[\x00-\x08\x0e-\x1f\x{460}-\x{52f}\x{900}-\x{dff}\x{e000}-\x{f8ff}]")
-
-
-def garbage_line(c: Column) -> Column:
-    """A line without any word of two letters, or a short one with 30 % or more characters outside the usual scripts."""
-    solid = F.regexp_replace(c, r"(?U)\s", "")
-    odd = F.length(F.regexp_replace(solid, r"[0-9A-Za-z가-힣.,!?'\"()\-:;%~·…“”‘’]", ""))
-    no_word = ~c.rlike("[가-힣]{2,}|[A-Za-z]{2,}")
-    return (solid != "") & solid.rlike(r"(?U)[^\d\p{Punct}]") & (no_word | ((F.length(solid) <= 60) & (odd >= 0.3 * F.length(solid))))
+    """Control, extended Cyrillic, Hebrew, Arabic, Indic or private-use characters: signs of a broken font map."""
+    return c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{460}-\x{dff}\x{e000}-\x{f8ff}]")
 
 
 def table(rows: Column) -> Column:
@@ -231,8 +261,3 @@ def joined_paragraphs(c: Column) -> Column:
         return F.struct(done.alias("done"), F.when(go, F.concat(rtrim(acc["cur"]), F.lit(" "), ltrim(x))).otherwise(x).alias("cur"))
 
     return F.aggregate(lines(c), zero, step, lambda acc: F.array_join(F.concat(acc["done"], F.array(acc["cur"])), "\n"))
-
-
-def refined(c: Column) -> Column:
-    """The generic cleaning chain for plain text."""
-    return F.regexp_replace(punctuation(joined_paragraphs(noise_lines(page_labels(artifacts(hyphens(symbols(c))))))), "[ \t]{2,}", " ")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import strip
+from quillspark.functions.korean import BOUND, PAIRS
+from quillspark.functions.text import BLOCK_START, strip
 from quillspark.operators.corpus import exploded_lines, first_per
 
 # What a contents page looks like.
@@ -51,6 +52,26 @@ def joined_pages(pages: DataFrame) -> DataFrame:
     return all_of.select("doc", F.regexp_replace(F.array_join(F.col("all.piece"), ""), r"(?: |\n\n)\z", "").alias("body"))
 
 
+def rejoined_pages(pages: DataFrame) -> DataFrame:
+    """doc, body: the pages (doc, page, text) in order, with a sentence that a page end cuts made whole.
+
+    It goes on without a space if the page end cuts a word (a bound fragment, a pair often split, or two short words),
+    else with one; other pages are paragraphs apart. The word before is sought on its own page. Pages without text go.
+    """
+    bare = pages.select("doc", "page", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
+    before = F.lag("text").over(Window.partitionBy("doc").orderBy("page", "text"))
+    last, first = strip(F.regexp_extract(before, r"[^\r\n]+\z", 0)), strip(F.regexp_extract(F.col("text"), r"\A[^\r\n]+", 0))
+    a, b = F.regexp_extract(last, r"(?U)\S+\z", 0), F.regexp_extract(first, r"(?U)\A\S+", 0)
+    apart = last.rlike(BLOCK_START) | first.rlike(BLOCK_START) | last.rlike(r"(?:[.!?…:;]|[.!?][\"'])\z")
+    goes_on = ~apart & last.rlike(r"[가-힣,]\z") & first.rlike(r"(?U)\A[가-힣\p{Lower}]")
+    pairs = F.array(*[F.lit(f"{x} {y}") for x, y, _ in PAIRS])
+    cut = b.isin(*sorted(BOUND)) | F.array_contains(pairs, F.concat_ws(" ", a, b)) | ((F.length(a) <= 2) & (F.length(b) <= 2))
+    gap = F.when(before.isNull() | (goes_on & cut), "").when(goes_on, " ").otherwise("\n\n")
+    piece = bare.withColumn("piece", F.concat(gap, "text"))
+    all_of = piece.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "text", "piece"))).alias("all"))
+    return all_of.select("doc", F.array_join(F.col("all.piece"), "").alias("body"))
+
+
 def edge_lines(pages: DataFrame, n: int = 2) -> DataFrame:
     """page, line_no, line: a page's first and last n lines that aren't blank."""
     w = Window.partitionBy("page")

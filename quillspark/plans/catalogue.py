@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import entries as E
+from quillspark.functions import korean, noise, reread
 from quillspark.functions import text as X
-from quillspark.functions.unicode import nfkc
 from quillspark.operators import blocks as B
+from quillspark.operators import books as K
 from quillspark.operators import corpus as O
+from quillspark.operators import markdown as M
 from quillspark.operators import pages as P
 from quillspark.sources import readers, sinks
 
@@ -234,7 +236,7 @@ def paragraph_join(t):
 
 @query()
 def refine_plain(t):
-    return t("documents").select("doc_id", X.refined(nfkc(F.col("text"))).alias("text"))
+    return t("documents").select("doc_id", M.refined_plain(F.col("text")).alias("text"))
 
 
 @query()
@@ -322,3 +324,80 @@ def block_paragraphs(t):
 def scan_rows(t):
     line = F.expr("named_struct('text', concat('p', l_partkey), 'x0', double(l_suppkey % 500), 'y0', double(l_partkey % 800), 'x1', double(600), 'y1', double(l_partkey % 800 + 5 + l_linenumber * 6))")
     return t("lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(B.scan_rows(F.collect_list(line)).alias("r")).select("page", F.posexplode("r").alias("row_no", "r")).select("page", "row_no", "r.text", "r.y0", "r.y1")
+
+
+#: Conversations as books of pages, with a running header on each page and every other Latin word put into Hangul text.
+_book = "conv_id AS doc, turn AS page, concat('아침에 읽는 짧은 글 모음 ', turn, '\\n', text) AS text"
+#: Defects of scanned Korean texts, one of them put before each document.
+_defects = "element_at(array('훌륨한 영항을 주었디-. 할수있다 이를위해 ', 'OO52 우리의 성공（파트너십）：시작 艾^ ', '『길매기의 꿈J 〈용서받지 못한 자X2005) ', '모든 사람에게 모든 것을 공유할 힘을 주어라 Give everyone the power. '), int(doc_id % 4) + 1)"
+
+
+@query()
+def refine_markdown(t):
+    return M.refined_markdown(t("documents").select("doc_id", F.expr("concat('---\\nid: ', doc_id, '\\n---\\n', text, '\\n```\\n', lang, '\\n```\\n| a | b |')").alias("text")))
+
+
+@query()
+def ko_refine(t):
+    return t("documents").select("doc_id", korean.refined(F.expr(f"concat({_defects}, text)")).alias("text"))
+
+
+@query()
+def ko_noise_page(t):
+    return t("documents").select("doc_id", noise.clean_page(F.expr(f"concat({_defects}, text)")).alias("text"))
+
+
+@query()
+def ko_brackets(t):
+    return t("documents").select("doc_id", noise.quote_brackets(F.expr(f"concat({_defects}, text)")).alias("text"))
+
+
+@query()
+def ko_language_split(t):
+    text, n = noise.split_languages(F.expr(f"concat({_defects}, text)"))
+    return t("documents").select("doc_id", text.alias("text"), n.alias("splits"))
+
+
+@query()
+def header_grams(t):
+    return K.header_grams(t("conversations").selectExpr(_book.replace("conv_id AS doc", "conv_id % 5 AS doc").replace("turn AS page", "conv_id * 100 + turn AS page"))).select("doc", F.explode("grams").alias("gram"))
+
+
+@query()
+def fuzzy_headers(t):
+    return K.without_headers(t("conversations").selectExpr(_book.replace("conv_id AS doc", "conv_id % 5 AS doc").replace("turn AS page", "conv_id * 100 + turn AS page")))
+
+
+@query()
+def book_matter_pages(t):
+    return K.book_matter(t("conversations").selectExpr("conv_id % 5 AS doc", "conv_id * 100 + turn AS page", "if(turn = 0, concat('저자 ', text, ' 지음 | 175면 | 11,000원'), text) AS text"))
+
+
+@query()
+def quote_groups(t):
+    return K.grouped_quotes(t("conversations").selectExpr("conv_id % 5 AS doc", "conv_id * 100 + turn AS page", "concat('고난\\n46\\n', text, '\\n찰스 스탠리(1932-), 목사\\n', text, '\\n토저(1897-1963), 저자') AS text"))
+
+
+@query()
+def entry_paragraphs(t):
+    text = F.expr("concat('019 001\\n002\\n', array_join(transform(sequence(1, int(doc_id % 60) + 1), i -> concat(lpad(i, 3, '0'), ' 하나의 긴 항목을 적은 문장이다')), '\\n'), '\\n', text)")
+    return t("documents").select("doc_id", E.entry_paragraphs(text).alias("text"))
+
+
+@query()
+def re_read_lines(t):
+    broken = t("documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.substring("text", 1, 60).alias("reading"))
+    reads = broken.withColumn("line", F.translate("reading", "aeo", "\u0b01\u0c02\u0d03"))
+    return reread.repaired(reads.select("doc", F.concat(F.lit("> "), "line").alias("text")), reread.fixes(reads))
+
+
+@query()
+def rejoined_pages(t):
+    return P.rejoined_pages(t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.regexp_replace("text", "[.!?]$", ",").alias("text")))
+
+
+@query("""SELECT conv_id, turn, n >= 2 OR regexp_matches(name, '\\b(english|grammar|idioms?)\\b') AS study FROM (SELECT conv_id, turn, lower(coalesce(role, '')) AS name, CAST(contains(s, 'dialogue') AS INTEGER) + CAST(contains(s, 'idiom') AS INTEGER) AS n
+FROM (SELECT *, lower(substr(text || CASE WHEN turn % 2 = 0 THEN ' Idiom' ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN ' dialogue' ELSE '' END, 1, 3000)) AS s FROM conversations))""")
+def study_material(t):
+    c = F.expr("concat(text, if(turn % 2 = 0, ' Idiom', ''), if(conv_id % 3 = 0, ' dialogue', ''))")
+    return t("conversations").select("conv_id", "turn", X.study_material(c, F.col("role")).alias("study"))

@@ -48,6 +48,38 @@ def _grid(rows: list[list[str]]) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in (head, ["---"] * width, *rest))
 
 
+# Words of a glossary's header and of a table of examples, lengths and rows of the forms of a sheet.
+GLOSSARY, EXAMPLES = "표현 단어 english korean phrase word".split(), "뜻 의미 예문 해석 meaning example keyword 단어 표현 구분 설명".split()
+LONG, LONG_ROWS, GRID_ROWS, GRID_CHARS = 30, 20, 30, 25
+
+
+def sheet(name: str, rows: list[list[str]]) -> str:
+    """A sheet by its form: glossary (two columns), examples under their headwords, short grid, or rows of cells. Without cells: empty."""
+    rows = [[" ".join(re.split("\r\n|\r|\n", (v or "").strip())) for v in r] for r in rows]
+    used = [i for i in range(max(map(len, rows), default=0)) if any(r[i] for r in rows if i < len(r))]
+    rows = [x for r in rows if any(x := [r[i] if i < len(r) else "" for i in used])]
+    if not rows:
+        return ""
+    title, head = f"### 시트: {name} (총 {len(rows)}행)\n\n", rows[0]
+    if len(used) == 2:
+        forms = {(True, True): "• **{0}**: {1}", (True, False): "• {0}", (False, True): "  {1}"}
+        lines = [forms[bool(a), bool(b)].format(a, b) for a, b in rows]
+        if any(w in head[0].lower() for w in GLOSSARY):
+            lines[0] = f"**[분류 헤더: {head[0]} - {head[1]}]**\n"
+        return title + "\n".join(lines)
+    if any(w in " ".join(head).lower() for w in EXAMPLES) and len(rows) > 1 and any(len(v) > LONG for r in rows[:LONG_ROWS] for v in r):
+        lines = []
+        for n, r in enumerate(rows[1:], 1):
+            lines.append(f"#### {n}. {r[0] or f'항목 {n}'}")
+            lines += [f"- **{h or f'항목 {i}'}**: {v}" for i, (h, v) in enumerate(zip(head[1:], r[1:]), 2) if v] + [""]
+        return title + "\n".join(lines)
+    if len(rows) <= GRID_ROWS and all(len(v) <= GRID_CHARS for r in rows for v in r):
+        cells = [[v.replace("|", "\\|") for v in r] for r in rows]
+        cells[0] = [v or f"열 {i}" for i, v in enumerate(cells[0], 1)]
+        return title + "\n".join(f"| {' | '.join(r)} |" for r in (cells[0], ["---"] * len(used), *cells[1:]))
+    return title + "\n".join("  |  ".join(filter(None, r)) for r in rows)
+
+
 def _docx(z: zipfile.ZipFile) -> str:
     body = next(x for x in ElementTree.fromstring(z.read("word/document.xml")) if _local(x.tag) == "body")
 
@@ -115,7 +147,7 @@ def _xlsx(z: zipfile.ZipFile) -> str:
         used = [i for i in range(max(map(len, rows), default=0)) if any(i < len(r) and r[i].strip() for r in rows)]
         rows = [[r[i] if i < len(r) else "" for i in used] for r in rows]
         if rows:
-            out.append(f"## {titles[k] if k < len(titles) else name}\n\n{_grid(rows)}")
+            out.append(sheet(titles[k] if k < len(titles) else name, rows))
     return "\n\n".join(out)
 
 

@@ -26,7 +26,7 @@ def test_formats():
     pptx = zipped({f"ppt/slides/slide{n}.xml": f"<s>{shape(9, 'low')}{shape(1, f'top{n}')}</s>" for n in (10, 2)})
     assert readers.convert("pptx", pptx)[2] == "### 슬라이드 1\n\ntop2\n\nlow\n\n### 슬라이드 2\n\ntop10\n\nlow"
     xlsx = zipped({"xl/workbook.xml": '<w><sheet name="S"/></w>', "xl/sharedStrings.xml": "<s><si><t>k</t></si></s>", "xl/worksheets/sheet1.xml": '<w><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row><row><c r="A2"><v>6</v></c><c r="C2"><v>7</v></c></row></w>'})
-    assert readers.convert("xlsx", xlsx)[2] == "## S\n\n| k | 5 |\n| --- | --- |\n| 6 | 7 |"
+    assert readers.convert("xlsx", xlsx)[2] == "### 시트: S (총 2행)\n\n• **k**: 5\n• **6**: 7"
     hwpx = zipped({f"Contents/section{n}.xml": f"<s><p><t>part</t><t>{n}</t></p></s>" for n in (10, 2)})
     assert readers.convert("hwpx", hwpx)[2] == "part2\n\npart10"
     epub = zipped({"META-INF/container.xml": '<c><rootfile full-path="o/c.opf"/></c>', "o/c.opf": '<p><item id="b" href="b.html"/><item id="a" href="a.html"/><itemref idref="a"/><itemref idref="b"/><itemref idref="z"/></p>', "o/a.html": "<h1>A</h1>", "o/b.html": "<p>B</p>"})
@@ -84,3 +84,12 @@ def test_stream_equals_batch(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/in")
     run_available(spark, f"{tmp_path}/in", docs.schema, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(enriched(docs).collect())
+
+
+def test_forms_of_sheets():
+    assert readers.sheet("S", [["단어", "뜻"], ["apple", "사과"], ["pear", ""], ["", "배"]]).split("\n\n", 1)[1] == "**[분류 헤더: 단어 - 뜻]**\n\n• **apple**: 사과\n• pear\n  배"
+    long = readers.sheet("S", [["단어", "뜻", "예문"], ["apple", "사과", "x" * 31], ["", "배", ""]]).split("\n\n", 1)[1]
+    assert long == f"#### 1. apple\n- **뜻**: 사과\n- **예문**: {'x' * 31}\n\n#### 2. 항목 2\n- **뜻**: 배\n"
+    assert readers.sheet("S", [["a", "", "c|d"], ["1", "", "2"], ["", "x", "3"]]).endswith("| a | 열 2 | c\\|d |\n| --- | --- | --- |\n| 1 |  | 2 |\n|  | x | 3 |")
+    assert readers.sheet("S", [["a" * 26, "b", "c"], ["1", "", "3"]]).endswith(f"{'a' * 26}  |  b  |  c\n1  |  3")
+    assert readers.sheet("S", []) == readers.sheet("S", [["", " "]]) == ""
