@@ -326,8 +326,8 @@ def scan_rows(t):
     return t("lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(B.scan_rows(F.collect_list(line)).alias("r")).select("page", F.posexplode("r").alias("row_no", "r")).select("page", "row_no", "r.text", "r.y0", "r.y1")
 
 
-#: Conversations as books of pages, with a running header on each page and every other Latin word put into Hangul text.
-_book = "conv_id AS doc, turn AS page, concat('아침에 읽는 짧은 글 모음 ', turn, '\\n', text) AS text"
+#: Conversations as books of pages, with a running header on each page.
+_book = ["conv_id % 5 AS doc", "conv_id * 100 + turn AS page", "concat('아침에 읽는 짧은 글 모음 ', turn, '\\n', text) AS text"]
 #: Defects of scanned Korean texts, one of them put before each document.
 _defects = "element_at(array('훌륨한 영항을 주었디-. 할수있다 이를위해 ', 'OO52 우리의 성공（파트너십）：시작 艾^ ', '『길매기의 꿈J 〈용서받지 못한 자X2005) ', '모든 사람에게 모든 것을 공유할 힘을 주어라 Give everyone the power. '), int(doc_id % 4) + 1)"
 
@@ -360,12 +360,12 @@ def ko_language_split(t):
 
 @query()
 def header_grams(t):
-    return K.header_grams(t("conversations").selectExpr(_book.replace("conv_id AS doc", "conv_id % 5 AS doc").replace("turn AS page", "conv_id * 100 + turn AS page"))).select("doc", F.explode("grams").alias("gram"))
+    return K.header_grams(t("conversations").selectExpr(*_book)).select("doc", F.explode("grams").alias("gram"))
 
 
 @query()
 def fuzzy_headers(t):
-    return K.without_headers(t("conversations").selectExpr(_book.replace("conv_id AS doc", "conv_id % 5 AS doc").replace("turn AS page", "conv_id * 100 + turn AS page")))
+    return K.without_headers(t("conversations").selectExpr(*_book))
 
 
 @query()
@@ -386,7 +386,7 @@ def entry_paragraphs(t):
 
 @query()
 def re_read_lines(t):
-    broken = t("documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.substring("text", 1, 60).alias("reading"))
+    broken = t("conversations").select(F.col("conv_id").alias("doc"), F.col("text").alias("reading"))
     reads = broken.withColumn("line", F.translate("reading", "aeo", "\u0b01\u0c02\u0d03"))
     return reread.repaired(reads.select("doc", F.concat(F.lit("> "), "line").alias("text")), reread.fixes(reads))
 
