@@ -1,8 +1,10 @@
 """Language-model scoring by class-based n-grams (Brown): classes from exchange clustering, transitions and emissions.
 
-Every word of the training texts is counted and every word has a class. Exchange moves units between classes: a unit is
-one of the most frequent words (there can't be more than CORE of relative frequency 1 / CORE) or all other words that
-share a hashed ending, so that the table of adjacent units, which the driver needs, has a fixed size whatever the corpus.
+Every word of the training texts is counted and has a class of its own. Frequent words are exchanged first, on the
+driver: a unit is one of the CORE most frequent words or all other words that share a hashed ending, so that the table of
+adjacent units has a fixed size whatever the corpus. From there on every word moves alone, in distributed sweeps (as
+Uszkoreit and Brants do): the classes to its left and right are counted over the corpus, and it takes the class under
+which they are likeliest. All words of a sweep move at once; the sweep of the best likelihood in training is scored.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,10 @@ from quillspark.llm.store import Work, bytes_of, release, tune
 #: Units: frequent words, hashed word ends, and the end of a text. Classes; sweeps of the exchange.
 CORE, ENDINGS, CLASSES, SWEEPS = 256, 512, 48, 6
 UNITS = CORE + ENDINGS + 1
+#: Sweep(s) in which every word moves alone. What is counted of a word: classes to its right, to its left, itself beside it.
+OWN, CELLS = 1, 2 * CLASSES + 1
+#: A count of a word as it is shuffled.
+CELL = np.dtype([("cell", "u1"), ("n", "<u4")])
 #: Pseudo-counts of emissions and of transitions; weight of the class model against the base model.
 ALPHA, BETA, LAMBDA = 0.1, 0.5, 0.9
 #: Bytes of text that are scored together, about.
@@ -89,13 +96,97 @@ def exchange(table: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return label
 
 
+def better(word: np.ndarray, cell: np.ndarray, n: np.ndarray, old: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Each word's likeliest class, given n of its cells (words ascend) and c, the adjacent classes; it counts as taken out."""
+    c = c + BETA
+    rows, cols = c.sum(1), c.sum(0)
+    cells = np.concatenate((c.T, c, c.diagonal()[None]))
+    gain = np.log(cells)
+    gain[:CLASSES] -= np.log(rows)
+    gain[CLASSES:-1] -= np.log(cols)
+    gain[-1] -= np.log(rows) + np.log(cols)
+    out = old.astype(np.int64)
+    for k in range(0, len(old), 1 << 14):
+        o = out[k : k + (1 << 14)]
+        i, j = np.searchsorted(word, (k, k + len(o)))
+        d = np.bincount((word[i:j] - k) * CELLS + cell[i:j], n[i:j], len(o) * CELLS).reshape(len(o), CELLS)
+        each, all_of = np.arange(len(o)), d[:, :CLASSES].sum(1) + d[:, -1]
+        own = d.copy()
+        own[each, o] = own[each, CLASSES + o] = own[:, -1] = d[each, o] + d[each, CLASSES + o] + d[:, -1]
+        s = d @ gain
+        stay = (d * np.log(np.maximum(cells.T[o] - own, BETA))).sum(1)
+        s[each, o] = stay - all_of * (np.log(np.maximum(rows[o] - all_of, BETA)) + np.log(np.maximum(cols[o] - all_of, BETA)))
+        new = s.argmax(1)
+        out[k : k + (1 << 14)] = np.where(s[each, new] > s[each, o] + 1e-9, new, o)
+    return out
+
+
+def likelihood(c: np.ndarray) -> float:
+    """Log likelihood of training by adjacent classes c, but for what doesn't depend on classes."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    return f(c) - f(c.sum(1)) - f(c.sum(0))
+
+
+class Tokens:
+    """A block's tokens: listed names, each token's place in them, which tokens train, how often each name trains."""
+
+    def __init__(self, t: pa.Table, core: np.ndarray, seed: np.ndarray, words: pa.Table) -> None:
+        held, parts = t["held"].to_numpy(), []
+        for i, j in K.texts_in_parts(t["text"], 1 << 20):
+            parts.append((i, j, *tokens(t["text"].slice(i, j - i))))
+        self.bounds = [(i, j, at) for i, j, _, _, at in parts]
+        self.train = np.concatenate([np.repeat(~held[i:j], np.diff(at)) for i, j, at in self.bounds])
+        self.listed, one, back = np.unique(np.concatenate([x[2] for x in parts]), return_index=True, return_inverse=True)
+        self.back = back.astype(np.int32)
+        self.label = seed[units(self.listed, np.concatenate([x[3] for x in parts])[one], core)]
+        self.n = np.bincount(self.back, self.train, len(self.listed)).astype(np.int64)
+        self.end = int(np.searchsorted(self.listed, END))
+        self.words, self.at = words, np.searchsorted(self.listed, words["name"].to_numpy().view(np.uint64))
+        self.past = np.frombuffer(b"".join(words["past"].to_pylist()), np.uint8).reshape(words.num_rows, -1) if words.num_rows else None
+        self.single = self.n > 0  # a word that isn't shared trains in this block only
+        self.single[self.at] = self.single[self.end] = False
+
+    def cells(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names and cells around training tokens of the names that `of` marks."""
+        cls, back = self.label.astype(np.uint8)[self.back], self.back
+        at = np.flatnonzero(of[back] & self.train)  # an end is never among them, so a token follows
+        w = back[at]
+        self_left, self_right = (at > 0) & (back[at - 1] == w), back[at + 1] == w
+        left = np.where(at > 0, cls[at - 1], self.label[self.end])
+        right = cls[at + 1].astype(np.int64)
+        return np.concatenate((w[~self_right], w[~self_left], w[self_right])), np.concatenate((right[~self_right], CLASSES + left[~self_left], np.full(self_right.sum(), CELLS - 1)))
+
+    def sweep(self, k: int, c: np.ndarray) -> None:
+        """Classes after sweep k, c being the adjacent classes before it."""
+        label = self.label.copy()
+        word, cell = self.cells(self.single & (self.n == 1))
+        right, left = cell[: len(word) // 2], cell[len(word) // 2 :]  # one of each for a word that occurs once
+        word = word[: len(word) // 2]
+        kind, back = np.unique((right * CELLS + left) * CLASSES + self.label[word], return_inverse=True)
+        two = np.stack((kind // CLASSES // CELLS, kind // CLASSES % CELLS), 1).ravel()
+        label[word] = better(np.repeat(np.arange(len(kind)), 2), two, np.ones(len(two)), kind % CLASSES, c)[back]
+        word, cell = self.cells(self.single & (self.n > 1))
+        code, n = np.unique(word.astype(np.int64) * CELLS + cell, return_counts=True)
+        word, back = np.unique(code // CELLS, return_inverse=True)
+        label[word] = better(back, code % CELLS, n, self.label[word], c)
+        if len(self.at):
+            label[self.at] = self.past[:, k]
+        self.label = label
+
+    def adjacent(self) -> np.ndarray:
+        """How often a class precedes a class in training, and how many single words a class has."""
+        cls = self.label[self.back]
+        before = np.concatenate(([self.label[self.end]], cls[:-1]))  # a text begins after an end
+        return np.concatenate((np.bincount((before * CLASSES + cls)[self.train], minlength=CLASSES**2), np.bincount(self.label[self.single], minlength=CLASSES)))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Held out: crc32 of the id as text, mod 10, is 0 (a null id is not held out); the rest trains. base_score is the
     add-0.1 unigram log10 probability. score mixes, token by token, the class model P(class | class before) P(word |
-    class) with the base model. A word not seen in training has its unit's class and that class's share for unseen
-    words. Null or empty text: its end alone. No training text: base_score and score are those of one unseen token type.
+    class) with the base model. A word seen in training has a class of its own; one that isn't has its unit's class and
+    that class's share for unseen words. Null or empty text: its end alone. No training text: base_score and score are those of one unseen token type.
     Repeated rows are scored alike and each counts in training.
     """
     spark = docs.sparkSession
@@ -120,11 +211,11 @@ def score(docs: DataFrame) -> DataFrame:
 
     seen = work.put(docs.groupBy("block").applyInArrow(count, "block int, name long, ending short, n long"))
     release(spark)
-    counts = work.put(seen.groupBy("name").agg(F.sum("n").alias("c"), F.min("ending").alias("ending")))
+    counts = work.put(seen.groupBy("name").agg(F.sum("n").alias("c"), F.min("ending").alias("ending"), F.count("*").alias("blocks")))
     total, distinct = counts.agg(F.sum("c"), F.sum(F.expr("int(c > 0)"))).first()
     total, distinct = int(total or 0), int(distinct or 0)
     end = int(END.view(np.int64))
-    core = np.sort(np.array([r[0] for r in counts.where((F.col("c") * CORE > total) & (F.col("name") != end)).select("name").collect()], np.int64).view(np.uint64))  # fewer than CORE rows
+    core = np.sort(np.array([r[0] for r in counts.where((F.col("c") > 0) & (F.col("name") != end)).orderBy(F.desc("c"), "name").limit(CORE).select("name").collect()], np.int64).view(np.uint64))
     vocabulary = counts.where("c > 0").withColumn("unit", F.when(F.col("name") == end, -1).when(F.col("name").isin(core.view(np.int64).tolist()), -2).otherwise(F.col("ending"))).groupBy("unit").agg(F.count("*").alias("v"), F.sum("c").alias("c"))
     sizes = {r.unit: (r.v, r.c) for r in vocabulary.collect()}  # at most ENDINGS + 2 rows
 
@@ -149,34 +240,101 @@ def score(docs: DataFrame) -> DataFrame:
     table = table.reshape(UNITS, UNITS)
     label = exchange(table)
     one = np.eye(CLASSES)[label]
-    moves = one.T @ table @ one + BETA
-    moves /= moves.sum(1, keepdims=True)
     types = np.zeros(UNITS)
     for unit, (v, _) in sizes.items():
         if unit >= 0:
             types[CORE + unit] = v
     types[: len(core)] = 1
     types[UNITS - 1] = 1
-    mass = np.bincount(label, table.sum(0), CLASSES) + ALPHA * (np.bincount(label, types, CLASSES) + 1)
+    # adjacent classes and words of each class, after each sweep
+    steps, kinds = [one.T @ table @ one], [np.bincount(label, types, CLASSES)]
+    shared = work.put(seen.select("block", "name").join(counts.where((F.col("blocks") > 1) & (F.col("c") > 0) & (F.col("name") != end)).select("name", "c"), "name"))
+    lists = shared.withColumn("past", F.lit(b""))
+    by_block = docs.groupBy("block")
+
+    def walk(t: pa.Table, words: pa.Table) -> pa.Table:
+        none = pa.table({"bucket": pa.array([], pa.int32()), "name": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "past": pa.array([], pa.binary()), "cells": pa.array([], pa.binary())})
+        if not t.num_rows:
+            return none
+        b, done = Tokens(t, core, label, words), len(steps) - 1 + ahead
+        for k in range(done):
+            b.sweep(k, steps[k])
+        sums = b.adjacent()
+        at = np.flatnonzero(sums)
+        out = pa.table({"bucket": pa.array(np.full(len(at), -1, np.int32)), "name": pa.array(at), "n": pa.array(sums[at]), "past": pa.nulls(len(at), pa.binary()), "cells": pa.nulls(len(at), pa.binary())})
+        if done == OWN or not words.num_rows:
+            return out
+        of = np.zeros(len(b.listed), bool)
+        of[b.at] = True
+        word, cell = b.cells(of)
+        code, n = np.unique(word.astype(np.int64) * CELLS + cell, return_counts=True)
+        word, first = np.unique(code // CELLS, return_index=True)
+        data = np.empty(len(code), CELL)
+        data["cell"], data["n"] = code % CELLS, n
+        ends = np.concatenate((first, [len(code)])).astype(np.int32) * CELL.itemsize
+        cells = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+        names = b.listed[word]
+        past = pa.array([b.label[w].astype(np.uint8).tobytes() for w in word], pa.binary()) if not done else None
+        row = np.empty(len(b.listed), np.int64)
+        row[b.at] = np.arange(len(b.at))
+        past = past or words["past"].combine_chunks().take(pa.array(row[word]))
+        bucket = (names % np.uint64(blocks)).astype(np.int32)
+        return pa.concat_tables([out, pa.table({"bucket": pa.array(bucket), "name": pa.array(names.view(np.int64)), "n": pa.array(np.zeros(len(word), np.int64)), "past": past, "cells": cells})])
+
+    def move(t: pa.Table) -> pa.Table:
+        name, one, back = np.unique(t["name"].to_numpy(), return_index=True, return_inverse=True)
+        data = np.frombuffer(b"".join(t["cells"].to_pylist()), CELL)
+        word = np.repeat(back, pc.binary_length(t["cells"]).to_numpy() // CELL.itemsize)
+        order = np.argsort(word, kind="stable")
+        past = [x or b"" for x in t["past"].combine_chunks().take(pa.array(one)).to_pylist()]
+        new = better(word[order], data["cell"][order].astype(np.int64), data["n"][order], np.array([x[-1] for x in past], np.int64), steps[-1])
+        kept = past if len(steps) > 1 else [b""] * len(past)  # before the first sweep it is the seed's class
+        return pa.table({"name": pa.array(name), "past": pa.array([x + bytes([y]) for x, y in zip(kept, new.tolist())], pa.binary())})
+
+    for k in range(OWN + 1):
+        ahead = int(k > 0)  # the sweep whose adjacent classes are not known yet
+        seen_of = by_block.cogroup(lists.groupBy("block")).applyInArrow(walk, "bucket int, name long, n long, past binary, cells binary")
+        if k:  # the first sweep's adjacent classes are known, so its cells needn't be written
+            seen_of = work.put(seen_of)
+            sums = np.zeros(CLASSES**2 + CLASSES)
+            for r in seen_of.where("bucket < 0").groupBy("name").agg(F.sum("n").alias("n")).collect():
+                sums[r.name] = r.n
+            for r in classes.groupBy(F.conv(F.hex(F.substring("past", k, 1)), 16, 10).cast("int").alias("cls")).agg(F.count("*").alias("v")).collect():
+                sums[CLASSES**2 + r.cls] += r.v
+            sums[CLASSES**2 + label[UNITS - 1]] += 1
+            steps.append(sums[: CLASSES**2].reshape(CLASSES, CLASSES))
+            kinds.append(sums[CLASSES**2 :])
+        if k < OWN:
+            classes = work.put(seen_of.where("bucket >= 0").groupBy("bucket").applyInArrow(move, "name long, past binary"))
+            lists = shared.join(classes, "name")
+        if k:
+            work.drop(seen_of)
+        release(spark)
+    best = int(np.argmax([likelihood(c) for c in steps]))
+    moves = steps[best] + BETA
+    moves /= moves.sum(1, keepdims=True)
+    mass = steps[best].sum(0) + ALPHA * (kinds[best] + 1)
+    ends = sizes[-1][1] if -1 in sizes else 0
     base_of = total + 0.1 * (distinct + 1)
 
     def rate(t: pa.Table, words: pa.Table) -> pa.Table:
-        local: list[tuple] = []
-        for i, j in K.texts_in_parts(t["text"], 1 << 20):
-            local.append((i, j, *tokens(t["text"].slice(i, j - i))))
         held = t["held"].to_numpy()
-        if not local:
+        if not t.num_rows:
             return pa.table({c: pa.array([], k) for c, k in zip(("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (t["doc_id"].type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))})
         cols: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        # a word that isn't listed occurs in training in this block only
-        train = np.concatenate([np.repeat(~held[i:j], np.diff(at)) for i, j, _, _, at in local])
-        listed, back = np.unique(np.concatenate([x[2] for x in local]), return_inverse=True)
-        known = np.bincount(back, train, len(listed)).astype(np.int64)
-        known[np.searchsorted(listed, words["name"].to_numpy().view(np.uint64))] = words["c"].to_numpy()
-        for i, j, name, ending, at in local:
-            c = known[np.searchsorted(listed, name)]
+        b = Tokens(t, core, label, words)
+        for k in range(best):
+            b.sweep(k, steps[k])
+        known = b.n.copy()
+        known[b.at] = words["c"].to_numpy()
+        known[b.end] = ends
+        first = 0
+        for i, j, at in b.bounds:
+            back = b.back[first : first + at[-1]]
+            first += at[-1]
+            c = known[back]
             base = (c + 0.1) / base_of
-            cls = label[units(name, ending, core)]
+            cls = b.label[back]
             before = np.concatenate(([label[UNITS - 1]], cls[:-1]))
             fine = moves[before, cls] * (c + ALPHA) / mass[cls]
             both = LAMBDA * fine + (1 - LAMBDA) * np.where(c > 0, base, base / CLASSES)
@@ -187,9 +345,7 @@ def score(docs: DataFrame) -> DataFrame:
         n = t.num_rows
         return pa.table({"doc_id": t["doc_id"], "held_out": pa.array(held), **{k: pa.array(np.concatenate(v) if v else np.empty(0)) for k, v in cols.items()}, "train_tokens": pa.array(np.full(n, total, np.int64))}).select(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    lists = seen.select("block", "name", "n").join(counts.select("name", "c"), "name").where("c <> n").select("block", "name", "c")
-    release(spark)
-    return docs.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(rate, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_block.cogroup(lists.groupBy("block")).applyInArrow(rate, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

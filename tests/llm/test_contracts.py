@@ -82,6 +82,21 @@ def test_language_model_beats_base(spark):
     assert r.s > r.b + 0.1, r
 
 
+def test_rare_words_of_one_ending_have_classes(spark, monkeypatch):
+    from quillspark.llm import op10_brown
+
+    r = random.Random(5)
+    sides = [[f"{s}{i}xy" for i in range(400)] for s in "ab"]  # each rarer than 1 in 256
+    rows = [(d, " ".join(r.choice(sides[k % 2]) for k in range(60)), None) for d in range(600)]
+    df, found = spark.createDataFrame(rows, SCHEMA), []
+    for block in (8 << 20, 40_000):  # every word in one block, and shared between blocks
+        monkeypatch.setattr(op10_brown, "BLOCK", block)
+        found.append(got(op10_brown.score(df).where("held_out"), "score", "base_score"))
+    a, b = (np.array([x[d] for d in sorted(x)]) for x in found)
+    assert a[:, 0].sum() > a[:, 1].sum() + 0.15 * 61 * len(a)
+    assert b == pytest.approx(a, rel=1e-9)
+
+
 def test_pipeline(spark):
     import zlib
 
