@@ -243,6 +243,40 @@ def pages_cases():
     return [(1, "u", "<p>é</p>"), (2, "u", "<p>é</p>"), (3, None, None), (4, "", ""), (9, "a b\n", "x"), (5, "v", "WARC/1.1\r\n\r\n\r\n\r\nx"), (7, "v", "x"), (8, "w", "y" * 300_000)]
 
 
+def test_pipeline_null_and_repeated_ids(spark):
+    from collections import Counter
+
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.01"  # the smallest that has rejected texts
+
+    def count(df):
+        return Counter((r.doc_id, r.text) for r in df.collect())
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(P.COLUMNS)
+    kept = {r.doc_id for r in P.quality_stage(spark, docs, sf).collect()}
+    rows = docs.collect()
+    good, bad = [r for r in rows if r.doc_id in kept][:3], [r for r in rows if r.doc_id not in kept][:3]
+    assert len(good) == len(bad) == 3
+    r = random.Random(9)
+    fresh = [" ".join(r.choice("abcdefgh") * 3 + str(r.randrange(10**6)) for _ in range(80)) for _ in range(4)]
+    make = lambda rows: spark.createDataFrame(rows, docs.schema)
+    row = lambda d, t: (d, t, "en", "s", len(t))
+    # a rejected text beside a kept one of the same id, each also without id
+    mixed = [(d, *x[1:]) for g, b in zip(good, bad) for d in (None, 10**6 + g.doc_id) for x in (g, b)]
+    out = count(P.quality_stage(spark, docs.unionByName(make(mixed)), sf))
+    for g, b in zip(good, bad):
+        for d in (None, 10**6 + g.doc_id):
+            assert out[d, g.text] == 1 and out[d, b.text] == 0
+    f = make([row(None, fresh[0]), row(None, fresh[1]), row(5, fresh[2]), row(5, fresh[2]), row(5, fresh[3]), row(6, fresh[2]), row(None, fresh[3])]).repartition(3)
+    out = P.near_duplicate_stage(spark, f, sf)
+    assert count(out) == {(None, fresh[0]): 1, (None, fresh[1]): 1, **{k: n for k, n in count(out).items() if k[1] in fresh[2:]}}
+    assert Counter(t for _, t in count(out).elements()) == dict.fromkeys(fresh, 1)
+    left = P.substring_stage(spark, out, sf)
+    assert count(left) == count(out)
+    assert set(count(P.mixing_stage(spark, left, sf))) == set(count(left))
+
+
 @pytest.mark.parametrize("rows", [pages_cases(), []], ids=["edges", "empty"])
 @pytest.mark.parametrize("least", [0, 2])
 def test_warc(spark, tmp_path, rows, least):
