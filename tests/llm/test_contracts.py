@@ -21,7 +21,7 @@ def edge_texts():
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(300)]
     base = [" ".join(r.choices(vocab, k=120)) for _ in range(12)]
-    out = [None, "", " \t\n", "one", "One two", "one two", "a a a a a a a a a a a a a a a a", "ÀB c d e", "x" * 700_000 + " y", *base, *base[:3]]
+    out = [None, "", " \t\n", "one", "One two", "one two", "a a a a a a a a a a a a a a a a", "ÀB c d e", "x" * 700_000 + " y", "<|endoftext|>", "a <|endoftext|> b  <|endoftext|>c<|endoftext|>\n\n<|endoftext |>", *base, *base[:3]]
     for t in base:  # near copies
         for k in (1, 2, 3, 4, 8):
             w = t.split()
@@ -160,7 +160,6 @@ def test_pack(case):
 
     rows, df = case
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {d: [*t.encode(x or "", add_special_tokens=False).ids, 0] for d, x, _ in rows}
     out = pack(df).collect()
     by_doc, by_seq = {}, {}
@@ -209,12 +208,26 @@ def test_tree_of_edits():
     parts = ["word", " ", "  ", "\n", "don't", "42", "é", "x y z", "", " ", "  tail "]
     for n in (0, 1, 40, 900):
         text = " ".join(r.choice(parts) for _ in range(n))
-        tree = Tree(text, enc)
+        tree = Tree.of(text, enc)
         for _ in range(60):
             a = r.randint(0, len(text))
             b = min(len(text), a + r.choice([0, 0, 1, 5, 300]))
             text, _ = tree.edit(text, a, b, "".join(r.choices(parts, k=r.randint(0, 6))))
-            assert tree.tokens == len(enc.encode(text))
+            assert tree.tokens == len(enc.encode(text)) and tree.leaves()[1].sum() == len(text)
+
+
+def test_edits_at_one_place_stay_local():
+    from quillspark.llm import tokens
+    from quillspark.llm.op8_count import Tree
+
+    enc = tokens.encoder(tokens.default_ranks())
+    text = "one two three " * 3000
+    tree, again = Tree.of(text, enc), []
+    for _ in range(60):
+        text, n = tree.edit(text, 20_000, 20_000, " put in here" * 50)
+        again.append(n)
+    assert tree.tokens == len(enc.encode(text))
+    assert max(again) < 4 * again[0], again
 
 
 def test_quality(spark, case):
