@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as K
-from quillspark.llm.store import Work, bytes_of, release, tune
+from quillspark.llm.store import Work, bytes_of, few, release, tune
 
 #: Units: frequent words, hashed word ends, and the end of a text. Classes; sweeps of the exchange.
 CORE, ENDINGS, CLASSES, SWEEPS = 256, 512, 48, 6
@@ -79,12 +79,11 @@ def exchange(table: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             c[old] -= right
             c[:, old] -= left
             c[old, old] -= own
-            rows, cols = c.sum(1), c.sum(0)
+            rows, cols = c.sum(1) + left, c.sum(0) + right  # what goes beside u counts in its margins wherever u goes
             gain = (f(c + right) - f(c)).sum(1) + (f(c + left[:, None]) - f(c)).sum(0)
             d = np.diag(c)
             gain += f(d + right + left + own) - f(d + right) - f(d + left) + f(d)
             gain -= f(rows + right.sum() + own) - f(rows) + f(cols + left.sum() + own) - f(cols)
-            # what the other classes' margins gain is the same for every choice
             new = int(gain.argmax()) if gain.max() > gain[old] + 1e-9 else int(old)
             label[u] = new
             moved += new != old
@@ -193,7 +192,7 @@ def score(docs: DataFrame) -> DataFrame:
     tune(spark)
     work = Work(spark, "brown")
     blocks = max(1, bytes_of(docs) // BLOCK + 1)
-    docs = docs.select("doc_id", "text").withColumns({"held": F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False)), "block": F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")})
+    docs = docs.select("doc_id", "text").withColumns({"held": F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False)), "block": F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")})
 
     def count(t: pa.Table) -> pa.Table:
         name, ending, n = [], [], []
@@ -345,7 +344,7 @@ def score(docs: DataFrame) -> DataFrame:
         n = t.num_rows
         return pa.table({"doc_id": t["doc_id"], "held_out": pa.array(held), **{k: pa.array(np.concatenate(v) if v else np.empty(0)) for k, v in cols.items()}, "train_tokens": pa.array(np.full(n, total, np.int64))}).select(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return by_block.cogroup(lists.groupBy("block")).applyInArrow(rate, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return few(by_block.cogroup(lists.groupBy("block")).applyInArrow(rate, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
 def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as K
-from quillspark.llm.store import Work, tune
+from quillspark.llm.store import Work, few, tune
 
 #: Feature buckets of the document classifier; most labelled rows it is fitted on; steps of the fit.
 BUCKETS, SAMPLE, STEPS = 1 << 18, 16384, 150
@@ -52,15 +52,19 @@ class Linear:
     bias: float
 
     @staticmethod
-    def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> Linear:
-        """Logistic regression on the associated features, with a small ridge, by full-batch Adam."""
-        n, p = len(y), float(np.clip(y.mean() if len(y) else 0.5, 0.001, 0.999))
-        df = np.bincount(bucket, minlength=BUCKETS).astype(float)
-        hit = np.bincount(bucket, weights=y[doc], minlength=BUCKETS)
+    def used(df: np.ndarray, hit: np.ndarray, n: tuple[int, int]) -> np.ndarray:
+        """The associated buckets. df: texts with each bucket; hit: those of them with the label; n: all texts, and with it."""
+        total, positive = n
+        p = float(np.clip(positive / max(total, 1), 0.001, 0.999))
         g2 = np.zeros(BUCKETS)
-        for seen, total, share in ((hit, df, p), (df - hit, df, 1 - p)):
-            g2 += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(total * share, 1e-9)) * (seen > 0)
-        used = np.flatnonzero((df >= LEAST_TEXTS) & (g2 >= LEAST_G2))
+        for seen, share in ((hit, p), (df - hit, 1 - p)):
+            g2 += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(df * share, 1e-9)) * (seen > 0)
+        return np.flatnonzero((df >= LEAST_TEXTS) & (g2 >= LEAST_G2))
+
+    @staticmethod
+    def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, used: np.ndarray) -> Linear:
+        """Logistic regression on the used features, with a small ridge, by full-batch Adam."""
+        n = len(y)
         place = np.full(BUCKETS, -1)
         place[used] = np.arange(len(used))
         at = place[bucket] >= 0
@@ -94,7 +98,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """One row per document: doc_id, quality_logit, toxic_logit, site_rate, p_quality, kept.
 
     A linear classifier is fitted on at most `sample` labelled documents (by hash order; rows with a null label or id
-    don't count; of repeated labels the worst holds). Every document gets its two logits from its whole text. Hosts'
+    don't count; of repeated labels the worst holds; rows that share an id are fitted as their largest text). Every document gets its two logits from its whole text. Hosts'
     and paths' rates are grouped sums of the document posteriors: a path's rate is shrunk to its host's and a host's to
     the global one, with strengths from the method of moments, so that a sparse site says little. The site's log-odds
     against the global ones are added to the document's. kept: quality at least even and toxicity at most even.
@@ -108,18 +112,37 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows, so they may be broadcast
     fit_on = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.max("text").alias("text"))
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, bucket = features(b["text"])
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b["quality"].cast("int32"), b["toxic"].cast("int32"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))], ["quality", "toxic", "buckets"])
 
-    got = fit_on.mapInArrow(collect, "quality int, toxic int, buckets array<int>").toArrow().combine_chunks()
-    lists = got["buckets"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    doc = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy())) if got.num_rows else np.empty(0, np.int64)
-    bucket = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    heads = [Linear.fit(doc, bucket, got[c].to_numpy().astype(float)) if got.num_rows else Linear(np.zeros(BUCKETS), 0.0) for c in ("quality", "toxic")]
+    lists = work.put(fit_on.mapInArrow(listed, "quality int, toxic int, buckets array<int>"))
+    total = lists.agg(F.count("*"), F.sum(F.expr("int(quality > 0)")), F.sum(F.expr("int(toxic > 0)"))).first()
+    # what is collected is bounded: sums by bucket, then of at most `sample` texts the buckets that are used
+    sums = lists.select("quality", "toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.expr("int(quality > 0)")).alias("q"), F.sum(F.expr("int(toxic > 0)")).alias("t")).toArrow()
+    df, *hits = (np.zeros(BUCKETS) for _ in range(3))
+    for array, c in zip((df, *hits), ("n", "q", "t")):
+        array[sums["bucket"].to_numpy()] = sums[c].to_numpy()
+    used = [Linear.used(df, hit, (total[0], total[k + 1] or 0)) for k, hit in enumerate(hits)]
+    any_of = np.zeros(BUCKETS, bool)
+    any_of[np.concatenate(used)] = True
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.diff(b["buckets"].offsets.to_numpy())
+            row, bucket = np.repeat(np.arange(b.num_rows), size), b["buckets"].flatten().to_numpy()
+            at = any_of[bucket]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[at], minlength=b.num_rows))))
+            yield pa.RecordBatch.from_arrays([b["quality"], b["toxic"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket[at], pa.int32()))], ["quality", "toxic", "buckets"])
+
+    got = lists.mapInArrow(narrowed, "quality int, toxic int, buckets array<int>").toArrow().combine_chunks()
+    mine = got["buckets"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    mine = pa.concat_arrays(mine.chunks) if isinstance(mine, pa.ChunkedArray) else mine
+    doc = np.repeat(np.arange(got.num_rows), np.diff(mine.offsets.to_numpy())) if got.num_rows else np.empty(0, np.int64)
+    bucket = mine.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    heads = [Linear.fit(doc, bucket, (got[c].to_numpy() > 0).astype(float), u) if got.num_rows else Linear(np.zeros(BUCKETS), 0.0) for c, u in zip(("quality", "toxic"), used)]
     if not got.num_rows:
         heads[1].bias = -1.0
     packed = [(np.flatnonzero(h.weight), h.weight[np.flatnonzero(h.weight)], h.bias) for h in heads]
@@ -149,7 +172,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         .select("h", "p", F.expr(f"(s + {strong_path!r}D * (hs + {strong_host!r}D * {rate!r}D) / (hn + {strong_host!r}D)) / (n + {strong_path!r}D)").alias("site_rate"))
     )
     odds = f"ln(site_rate / (1 - site_rate)) - ln({rate / (1 - rate)!r}D)"
-    return (
+    return few(
         scored.join(site, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
         .withColumn("site_rate", F.expr("least(greatest(site_rate, 1e-6D), 1 - 1e-6D)"))
         .select("doc_id", F.col("zq").alias("quality_logit"), F.col("zt").alias("toxic_logit"), "site_rate", F.expr(f"1 / (1 + exp(-(zq + {odds})))").alias("p_quality"))

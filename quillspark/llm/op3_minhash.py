@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import words as K
 from quillspark.llm.graph import Forest, components
-from quillspark.llm.store import Work, release, tune
+from quillspark.llm.store import Work, few, release, tune
 
 #: Words of a shingle; percent of similarity that links.
 SHINGLE, PERCENT = 3, 85
@@ -29,9 +29,9 @@ REGISTERS = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 65534
 #: Pairs whose likeliest similarity is this far below the threshold aren't verified: over 5 standard errors.
 SLACK = 0.22
-#: Rounds that link each bucket to one of its members before buckets still divided are searched in full, by tiles of
-#: at most so many texts and shingles a side.
-STAR_ROUNDS, TILE_TEXTS, TILE_SHINGLES = 2, 1024, 500_000
+#: Rounds, at least, that link each bucket to one of its members before buckets still divided are searched in full, by
+#: tiles of about so many texts and shingles a side; more rounds follow while what is divided and over a tile shrinks so.
+STAR_ROUNDS, TILE_TEXTS, TILE_SHINGLES, SHRINKS = 2, 1024, 500_000, 0.8
 _seeds = K.mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _mul, _add = _seeds[:REGISTERS] | np.uint64(1), _seeds[REGISTERS:]
 _log_b = math.log(B)
@@ -90,22 +90,26 @@ def similarity(n_less: np.ndarray, n_more: np.ndarray, size_a: np.ndarray, size_
     return best
 
 
+def digests(w: K.Batch) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of each text's lower-cased words."""
+    h, place = w.hashes(lower=True), np.arange(len(w.starts), dtype=np.uint64) - np.repeat(w.at[:-1], w.n_words).astype(np.uint64)
+    out = []
+    for seed in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F):
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(h * np.uint64(seed) + place * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)))
+        out.append((run[w.at[1:]] - run[w.at[:-1]] + w.n_words.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
 def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, d1, d2 (128-bit hash of the lower-cased words), n_shingles, regs (the registers' bytes)."""
+    """doc_id, d1, d2 (hash of the lower-cased words), n_shingles, regs (the registers' bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], []]
             for i, j in K.texts_in_parts(b["text"], 1 << 20):
                 w = K.split(b["text"][i:j])
-                h, place = w.hashes(lower=True), np.arange(len(w.starts), dtype=np.uint64) - np.repeat(w.at[:-1], w.n_words).astype(np.uint64)
-                for c, seed in zip(cols[:2], (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)):
-                    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(h * np.uint64(seed) + place * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)))
-                    c.append((run[w.at[1:]] - run[w.at[:-1]] + w.n_words.astype(np.uint64)).view(np.int64))
                 sets = shingles(w, shingle)
-                cols[2].append(np.array([len(s) for s in sets], np.int64))
-                cols[3] += [registers(s).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(np.concatenate(c or [np.empty(0, np.int64)])) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "d1", "d2", "n_shingles", "regs"])
+                regs = pa.array([registers(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b["doc_id"][i:j], *map(pa.array, digests(w)), pa.array([len(s) for s in sets], pa.int64()), regs], ["doc_id", "d1", "d2", "n_shingles", "regs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, n_shingles long, regs binary")
 
@@ -212,50 +216,73 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     that aren't connected yet are looked at. Buckets that are still divided after these rounds are searched in full, in
     tiles that count intersections and return no more links than it takes to connect their texts. Null or empty
     text: no shingles, linked with nothing. Null doc_id: such rows are returned unlinked, kept. Rows that share a doc_id
-    are one node.
+    are one document: their texts are nodes of their own (named from 2 ** 62 up where the id has its first) that are linked.
     """
     spark = docs.sparkSession
     tune(spark)
     work = Work(spark, "minhash")
     named = work.put(sketch(docs, shingle))
     full = named.where("n_shingles > 0 and doc_id is not null")
-    first = work.put(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-    member = work.put(named.drop("regs").join(first, ["d1", "d2"], "left"))
-    regs = work.put(full.join(first.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("doc"), "n_shingles", "regs").dropDuplicates(["doc"]))
-    keys = bands(regs.select("doc", "regs")).repartition("key")
+    first = work.put(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("low")))
+    clash = work.put(first.groupBy("low").agg(F.count("*").alias("k"), F.min(F.struct("d1", "d2")).alias("own")).where("k > 1").select(F.col("low").alias("l"), "own"))
+    if not clash.isEmpty():
+        other = F.expr("own is not null and (d1 <> own.d1 or d2 <> own.d2)")
+        first = work.put(first.join(clash, F.col("low") == F.col("l"), "left").withColumn("node", F.when(other, F.expr(f"xxhash64(d1, d2) & {2**62 - 1}L | {2**62}L")).otherwise(F.col("low"))).select("d1", "d2", "low", "node"))
+    member = work.put(named.drop("regs").join(first.drop("low").hint("merge"), ["d1", "d2"], "left"))
+    ties = member.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("y")).where("b < y")
+    ties = work.put(member.join(ties, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    regs = work.put(full.join(first.hint("merge"), ["d1", "d2"]).where("doc_id = low").select(F.col("node").alias("doc"), "n_shingles", "regs").dropDuplicates(["doc"]))
+    keys = work.put(bands(regs.select("doc", "regs")))
     shared = keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    buckets = work.put(keys.join(shared, "key"))
+    buckets = work.put(keys.join(shared.hint("merge"), "key"))
+    work.drop(keys)
     release(spark)
     some = work.put(buckets.groupBy("doc").agg(F.sum("n").alias("company")))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in K.texts_in_parts(b["text"], 1 << 20):
-                sets = shingles(K.split(b["text"][i:j]), shingle)
+                w = K.split(b["text"][i:j])
+                own = np.logical_and(*(x == b[c][i:j].to_numpy() for x, c in zip(digests(w), ("d1", "d2"))))
+                sets = [s if k else s[:0] for s, k in zip(shingles(w, shingle), own)]
                 at = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([b["doc"][i:j], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["doc", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    sets = work.put(texts.join(some.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(gather, "doc long, set array<long>").where("size(set) > 0").dropDuplicates(["doc"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text")
+    wanted = first.join(some.select(F.col("doc").alias("node")).hint("shuffle_hash"), "node", "left_semi").withColumnRenamed("node", "doc")
+    sets = work.put(texts.join(wanted.hint("shuffle_hash"), "low").mapInArrow(gather, "doc long, set array<long>").where("size(set) > 0").dropDuplicates(["doc"]))
     sketches = work.put(regs.join(some, "doc", "left_semi"))
-    comp, edges = some.withColumn("comp", F.col("doc")), None
-    for step in range(STAR_ROUNDS + 1):
-        at = buckets.drop("n").join(comp, "doc")
+    comp, edges, step, before = some.withColumn("comp", F.col("doc")), ties, 0, 0
+    while True:
+        at = work.put(buckets.drop("n").join(comp, "doc"))
         order = F.struct(-F.col("company") if not step else F.xxhash64("doc", F.lit(step)), "doc", "comp")
-        divided = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(order).alias("h")).where("x < y")
-        if step < STAR_ROUNDS:
-            pairs = at.join(divided.select("key", "h.doc", "h.comp").toDF("key", "hub", "hub_comp"), "key").where("comp <> hub_comp")
-            pairs = work.put(pairs.selectExpr("least(doc, hub) a", "greatest(doc, hub) b").distinct())
-            found = work.put(verified(likely(pairs, sketches, percent), sets, percent))
-        else:
-            found = work.put(_tiles(at.join(divided.select("key"), "key", "left_semi").select("key", "doc", "comp"), sets, percent))
-        edges = found if edges is None else edges.unionByName(found)
+        divided = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(order).alias("h"), F.count("*").alias("n")).where("x < y")
+        divided = work.put(divided.select("key", "n", "h.doc", "h.comp").toDF("key", "n", "hub", "hub_comp"))
+        large = divided.where(F.col("n") > TILE_TEXTS).agg(F.sum("n")).first()[0] or 0
+        if step >= STAR_ROUNDS and (not large or large > SHRINKS * before):
+            break
+        before, step = large, step + 1
+        pairs = at.join(divided.hint("merge"), "key").where("comp <> hub_comp")
+        pairs = work.put(pairs.selectExpr("least(doc, hub) a", "greatest(doc, hub) b").distinct())
+        edges = edges.unionByName(work.put(verified(likely(pairs, sketches, percent), sets, percent)))
         comp = work.put(some.join(components(edges, work).toDF("doc", "c"), "doc", "left").select("doc", "company", F.coalesce("c", "doc").alias("comp")))
+        work.drop(at)
         release(spark)
-    comp = comp.select(F.col("doc").alias("node"), "comp")
+    rows = work.put(at.join(divided.select("key").hint("merge"), "key", "left_semi").select("key", "doc", "comp"))
+    edges = edges.unionByName(work.put(_tiles(rows, sets, percent)))
+    comp = components(edges, work).toDF("node", "comp")
     out = member.join(comp, "node", "left").withColumn("component_id", F.coalesce("comp", "node", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return few(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id"""

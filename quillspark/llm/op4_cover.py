@@ -15,35 +15,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.graph import Forest, components
-from quillspark.llm.store import Work, tune
+from quillspark.llm.store import Work, few, tune
 
 COSINE = 0.9
-#: Most vectors of a group, about; vectors sampled for pivots; most pivots.
-GROUP, SAMPLE, PIVOTS = 4096, 2048, 64
+#: Most vectors of a group, about; bytes of the vectors that are sampled for pivots; most pivots.
+GROUP, SAMPLE, PIVOTS = 4096, 4 << 20, 256
 #: Radii of the levels below the root. A wider first level would prune nothing: its reach exceeds most distances.
 RADII = (0.5, 0.25, 0.125)
 #: Widens and narrows bounds so that rounding can't drop or admit a pair; such pairs are decided on their cosine.
 EPS = 1e-9
-#: More than single precision can be off in a cosine of unit vectors of up to 1000 dimensions.
-SINGLE = 1e-4
+#: Squared lengths outside these bounds are taken of vectors scaled by their largest component, so that none over- or underflows.
+PLAIN = (1e-200, 1e200)
 
 
-def unit(raw: np.ndarray) -> np.ndarray:
-    return raw / np.sqrt((raw * raw).sum(1))[:, None]
+def single(dim: int) -> float:
+    """More than single precision can be off in a cosine of unit vectors: twice the bound for a sum of so many products."""
+    return (dim + 8) * 2.0**-23
 
 
-def usable(column: pa.Array) -> np.ndarray:
-    """Which vectors are neither null nor zero and hold finite numbers only."""
-    ok = np.zeros(len(column), bool)
-    for i, v in enumerate(column.to_pylist()):
-        if v:
-            x = np.array([math.nan if y is None else y for y in v], float)
-            ok[i] = bool(np.isfinite(x).all() and (x != 0).any())
-    return ok
+def unit(raw: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        square = (raw * raw).sum(1)
+    far = ~((square > PLAIN[0]) & (square < PLAIN[1]))
+    if far.any():
+        raw = raw.copy()
+        raw[far] /= np.abs(raw[far]).max(1)[:, None]
+        square = (raw * raw).sum(1)
+    return raw / np.sqrt(square)[:, None]
+
+
+def usable(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Which vectors are neither null nor zero and hold finite numbers only, and their numbers' bytes (null for the others)."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(float) + 0.0  # null: NaN; minus zero: zero
+    at = np.concatenate(([0], np.cumsum(size)))
+    count = lambda hit: (lambda run: run[at[1:]] - run[at[:-1]])(np.concatenate(([0], np.cumsum(hit))))
+    ok = (size > 0) & (count(np.isfinite(flat)) == size) & (count(flat != 0) > 0)
+    data = flat.tobytes()
+    return ok, pa.array([data[8 * a : 8 * z] if k else None for a, z, k in zip(at.tolist(), at[1:].tolist(), ok.tolist())], pa.binary())
 
 
 def _cover(x: np.ndarray, centres: np.ndarray, best: np.ndarray, near: np.ndarray) -> None:
@@ -90,7 +104,7 @@ class Tree:
         return parent
 
     def __init__(self, x: np.ndarray, parent: np.ndarray) -> None:
-        self.x, self.small = x, x.astype(np.float32)
+        self.x, self.small, self.off = x, x.astype(np.float32), single(x.shape[1])
         n = len(x)
         self.levels = len(RADII) + 1
         # order the rows so that each node's rows are a slice; the rows themselves are the lowest level
@@ -150,7 +164,7 @@ def dual(a: Tree, b: Tree, same: bool, cosine: float, wa: np.ndarray, wb: np.nda
                     cols, most = np.flatnonzero(mine), rb[mine].max()
                     right = np.ascontiguousarray(xb[cols].T)
                     for k in range(0, len(ca), 512):
-                        bound = (1 - (near + EPS + ra[k : k + 512] + most) ** 2 / 2 - SINGLE).astype(np.float32)
+                        bound = (1 - (near + EPS + ra[k : k + 512] + most) ** 2 / 2 - a.off).astype(np.float32)
                         hit = np.flatnonzero((xa[k : k + 512] @ right >= bound[:, None]).ravel())
                         p, q = hit // len(cols) + k, cols[hit % len(cols)]
                         v = np.einsum("ij,ij->i", a.x[pa_[p]], b.x[pb[q]])
@@ -210,6 +224,15 @@ def pivots(sample: np.ndarray, most: int = PIVOTS) -> np.ndarray:
     return sample[out]
 
 
+def chain(centre: np.ndarray, cells: list[int]) -> list[int]:
+    """The cells in an order in which each is followed by the nearest of those left, so that neighbours share groups."""
+    out, left = cells[:1], cells[1:]
+    while left:
+        k = int((centre[left] @ centre[out[-1]]).argmax())
+        out.append(left.pop(k))
+    return out
+
+
 def near_vectors(rows: DataFrame, cosine: float = COSINE, group: int = GROUP) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, for rows with vec_id and embedding.
 
@@ -224,18 +247,37 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, group: int = GROUP) ->
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [np.array(v, float).__add__(0.0).tobytes() if ok else None for v, ok in zip(b["v"].to_pylist(), usable(b["v"]))]
-            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(raw, pa.binary())], ["vec_id", "raw"])
+            yield pa.RecordBatch.from_arrays([b["vec_id"], usable(b["v"])[1]], ["vec_id", "raw"])
 
     named = work.put(rows.mapInArrow(check, "vec_id long, raw binary"))
     points = work.put(named.where("raw is not null and vec_id is not null").groupBy("raw").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
-    dims = [r[0] for r in points.select((F.octet_length("raw") / 8).cast("int")).distinct().limit(1001).collect()]
-    if len(dims) > 1000:
-        raise ValueError("vectors of over 1000 dimensions")
+    bytes_ = F.octet_length("raw")
+    sizes = work.put(points.groupBy(bytes_.alias("b")).agg(F.count("*").alias("n")))
     links, edges = None, None
+
+    def add(done: DataFrame) -> None:
+        nonlocal links, edges
+        some_links = done.where("other is null").select("node", "n")
+        some_edges = done.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        links, edges = (some_links, some_edges) if links is None else (links.unionByName(some_links), edges.unionByName(some_edges))
+
+    def alone(t: pa.Table) -> pa.Table:
+        """Links within all vectors of one length, of which there are no more than a group's."""
+        x = unit(np.frombuffer(b"".join(t["raw"].to_pylist())).reshape(t.num_rows, -1))
+        tree = Tree(x, Tree.nets(x))
+        node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
+        n, _, pairs = dual(tree, tree, True, cosine, copies, copies)
+        keep = n > 0
+        a, b = (node[[p[k] for p in pairs]] if pairs else np.empty(0, np.int64) for k in (0, 1))
+        return pa.table({"node": pa.array(np.concatenate((node[keep], a))), "other": pa.array([None] * int(keep.sum()) + b.tolist(), pa.int64()), "n": pa.array(np.concatenate((n[keep], np.zeros(len(a), np.int64))))})
+
+    few_of = points.join(sizes.where(F.col("n") <= group).select("b").hint("shuffle_hash"), bytes_ == F.col("b"), "left_semi")
+    dims = [r[0] // 8 for r in sizes.where(F.col("n") > group).select("b").collect()]  # one in `group` vectors at most
+    if sizes.where(F.col("n") <= group).limit(1).count():
+        add(work.put(few_of.withColumn("b", bytes_).groupBy("b").applyInArrow(alone, "node long, other long, n long")))
     for dim in sorted(dims):
         mine = points.where(F.octet_length("raw") == 8 * dim)
-        some = mine.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(SAMPLE).collect()
+        some = mine.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(max(64, SAMPLE // (8 * dim))).collect()
         centre = pivots(unit(np.frombuffer(b"".join(bytes(r[0]) for r in some)).reshape(-1, dim)))
 
         def deal(batches: Iterator[pa.RecordBatch], dim: int = dim, centre: np.ndarray = centre) -> Iterator[pa.RecordBatch]:
@@ -251,7 +293,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, group: int = GROUP) ->
         cells = {r[0]: r for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # at most PIVOTS rows
         # small cells share a group, large ones are split by hash; a group's bound is that of the cells in it
         ranges, groups, room = {}, [], 0
-        for c in sorted(cells):
+        for c in chain(centre, sorted(cells)):
             parts = -(-cells[c].n // group)
             if parts == 1 and room >= cells[c].n:
                 groups[-1].append(c)
@@ -270,7 +312,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, group: int = GROUP) ->
         m = len(groups)
         tiles = [(g, h) for g in range(m) for h in range(g, m) if not apart(g, h)]
         number = {t: k for k, t in enumerate(tiles)}
-        of_group = [[(number[t], int(t[1] == g and t[0] != g)) for t in ([(min(g, h), max(g, h)) for h in range(m)]) if t in number] for g in range(m)]
+        of_group = [[(number[t], 2 if t[0] == t[1] else int(t[1] == g)) for t in ([(min(g, h), max(g, h)) for h in range(m)]) if t in number] for g in range(m)]
 
         def number_groups(batches: Iterator[pa.RecordBatch], ranges: dict = ranges) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -292,8 +334,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, group: int = GROUP) ->
             nets = np.frombuffer(b"".join(t["nets"].to_pylist()), "<i4").reshape(-1, len(RADII) + 1).T.astype(np.int64)
             x = unit(np.frombuffer(b"".join(t["raw"].to_pylist())).reshape(-1, dim))
             node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
-            same = not side.any()
-            rows_a, rows_b = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+            same = bool((side == 2).all())  # a group with itself; else a side may have no rows
+            rows_a, rows_b = np.flatnonzero(side == (2 if same else 0)), np.flatnonzero(side == (2 if same else 1))
             out_node, out_n, edges = np.empty(0, np.int64), np.empty(0, np.int64), []
             if len(rows_a) and len(rows_b):
                 ta = Tree(x[rows_a], nets[:, rows_a])
@@ -314,10 +356,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, group: int = GROUP) ->
         grouped = dealt.drop("far").mapInArrow(number_groups, "node long, copies long, raw binary, grp int")
         built = work.put(grouped.groupBy("grp").applyInArrow(build, "node long, copies long, raw binary, place int, nets binary, grp int"))
         sent = built.mapInArrow(send, "tile int, side int, node long, copies long, raw binary, place int, nets binary")
-        done = work.put(sent.groupBy("tile").applyInArrow(match, "node long, other long, n long"))
-        some_links = done.where("other is null").select("node", "n")
-        some_edges = done.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        links, edges = (some_links, some_edges) if links is None else (links.unionByName(some_links), edges.unionByName(some_edges))
+        add(work.put(sent.groupBy("tile").applyInArrow(match, "node long, other long, n long")))
     out = named.join(points.select("raw", "node", "copies"), "raw", "left")
     if links is None:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -325,8 +364,17 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, group: int = GROUP) ->
     summed = links.groupBy("node").agg(F.sum("n").alias("n"))
     out = out.join(summed, "node", "left").join(comp, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("vec_id").isNull() | F.col("raw").isNull(), F.col("vec_id")).otherwise(F.coalesce("comp", "node")))
-    return out.select("vec_id", F.expr("if(raw is null or vec_id is null, 0L, coalesce(n, 0L) + copies - 1)").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return few(out.select("vec_id", F.expr("if(raw is null or vec_id is null, 0L, coalesce(n, 0L) + copies - 1)").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP4_SQL = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
+g AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / norm) AS e FROM g WHERE norm > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT m.vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id) AS n_links, component_id, m.vec_id = component_id AS kept FROM embeddings m JOIN c ON c.node = m.vec_id"""

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as K
-from quillspark.llm.store import Work, tune
+from quillspark.llm.store import Work, few, tune
 
-#: Buckets of n-grams (1 and 2 words); most trusted documents; how far below the trusted mean a kept text may score.
+#: Buckets of n-grams (1 and 2 words); most trusted documents that the target is fitted on; how far below the trusted mean a kept text may score.
 BUCKETS, TRUSTED, MARGIN = 1 << 18, 65536, 0.25
 #: The symbols that the base rule counts.
 SYMBOLS = b"#*$%&|<>"
@@ -71,20 +71,19 @@ def base(column: pa.Array) -> dict[str, np.ndarray]:
 def rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, margin: float = MARGIN) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept.
 
-    Trusted target: labelled documents of quality 1 and toxic 0, at most `trusted` of them by hash order. Half of them
-    (by a hash) give the target's multinomial over hashed 1- and 2-grams; all documents give the raw one; both get one
-    pseudo-count a bucket. llr is the mean log ratio of a text's n-grams. A text is kept if it passes the base rules and
-    its llr is at least the mean over the other half of the trusted texts, less `margin`; without such texts, 0 less
-    `margin`. Null or empty text: zeros, base_failed. Repeated rows are rated alike.
+    Trusted are labelled documents of quality 1 and toxic 0. Half of them (by a hash), but at most `trusted`, by hash order,
+    give the target's multinomial over hashed 1- and 2-grams; all documents give the raw one; both get one pseudo-count a
+    bucket. llr is the mean log ratio of a text's n-grams. A text is kept if it passes the base rules and its llr is at
+    least the mean over all of the other half of the trusted texts, less `margin`; without such texts, 0 less `margin`.
+    Null or empty text: zeros, base_failed. Repeated rows are rated alike.
     """
     spark = docs.sparkSession
     tune(spark)
     work = Work(spark, "rules")
     docs = docs.select("doc_id", "text")
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ids = np.array([r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).collect()], np.int64)
-    half = (K.mix(ids.astype(np.uint64)) & np.uint64(1)).astype(bool)
-    target, held = np.sort(ids[half]), np.sort(ids[~half])
+    good = work.put(good.withColumn("h", F.xxhash64("doc_id")))
+    target = np.sort(np.array([r[0] for r in good.where("h % 2 = 0").orderBy("h", "doc_id").limit(trusted).collect()], np.int64))
 
     def member(b: pa.RecordBatch, ids: np.ndarray) -> np.ndarray:
         x = b["doc_id"].cast("int64")
@@ -121,13 +120,14 @@ def rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, margin: fl
                 parts.append(x)
             cols = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
             if cols:
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(v, pa.float64() if k == "llr" else pa.int64()) for k, v in cols.items()), pa.array(member(b, held))], ["doc_id", *cols, "held"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(v, pa.float64() if k == "llr" else pa.int64()) for k, v in cols.items())], ["doc_id", *cols])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rated = work.put(docs.mapInArrow(rate, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, held boolean"))
-    middle = rated.where("held and n_words >= 10").agg(F.avg("llr")).first()[0] or 0.0
+    rated = work.put(docs.mapInArrow(rate, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"))
+    held = rated.where("n_words >= 10").join(good.where("h % 2 <> 0").select("doc_id"), "doc_id", "left_semi")
+    middle = held.agg(F.avg("llr")).first()[0] or 0.0
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    return rated.drop("held").withColumn("base_failed", failed).withColumn("kept", F.expr(f"not base_failed and llr >= {middle - margin!r}D"))
+    return few(rated.withColumn("base_failed", failed).withColumn("kept", F.expr(f"not base_failed and llr >= {middle - margin!r}D")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Mixing sources to target weights: min-cost flow over membership patterns, then a seeded choice of documents."""
+"""Mixing sources to target weights: min-cost flow over membership patterns, then a seeded choice of documents.
+
+Sources overlap where they hold the same text, or by given memberships. Documents are summed by pattern; the flow routes each
+pattern's words to the quotas of its sources. A text that m sources hold is seen m times as often, so its k-th use
+costs (2 k - 1) m a word: repetition grows dearer with each use, and a source fills its quota from texts of its own,
+repeated once, before it takes what three others have.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import words as K
-from quillspark.llm.store import Work, tune
+from quillspark.llm.store import Work, few, tune
 
 #: Most sources and membership patterns (they are solved on the driver); beyond, an error is raised.
 MOST_SOURCES, MOST_PATTERNS, REPEATS, SEED = 100_000, 100_000, 3, 17
@@ -44,8 +50,8 @@ def targets(sizes: list[int], weight: list[float], most: int = REPEATS) -> list[
     return out
 
 
-def route(patterns: list[tuple[int, ...]], sizes: list[int], quotas: list[int], most: int = REPEATS) -> list[dict[int, int]]:
-    """Min-cost flow: words of each pattern for each source. A pattern's k-th repetition costs k - 1 a word (convex).
+def route(patterns: list[tuple[int, ...]], sizes: list[int], quotas: list[int], most: int = REPEATS, degree: list[int] | None = None) -> list[dict[int, int]]:
+    """Min-cost flow: words of each pattern for each source. A pattern's k-th use costs (2 k - 1) * degree a word (convex).
 
     Successive shortest paths with potentials; arcs start -> pattern (one per repetition) -> source -> end.
     """
@@ -63,7 +69,7 @@ def route(patterns: list[tuple[int, ...]], sizes: list[int], quotas: list[int],
     inner = []
     for p, members in enumerate(patterns):
         for k in range(most):
-            arc(start, p, sizes[p], k)
+            arc(start, p, sizes[p], (2 * k + 1) * (degree[p] if degree else 1))
         for s in members:
             inner.append((p, s, len(to)))
             arc(p, n_p + s, most * sizes[p], 0)
@@ -125,16 +131,28 @@ def route(patterns: list[tuple[int, ...]], sizes: list[int], quotas: list[int],
 
 
 def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, the columns to keep, size: words of the whole text; null or empty: 0."""
+    """doc_id, source, the columns to keep, size (words of the whole text; null or empty: 0), d1, d2 (hash of the words)."""
     docs = docs.select("doc_id", F.col("source").cast("string").alias("source"), *keep, "text")
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "source", *keep))
+    names = ["doc_id", "source", *keep]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [K.split(b["text"][i:j]).n_words for i, j in K.texts_in_parts(b["text"], 1 << 20)]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "source", *keep)), pa.array(np.concatenate(n or [np.empty(0)]).astype(np.int64))], ["doc_id", "source", *keep, "size"])
+            for i, j in K.texts_in_parts(b["text"], 1 << 20):
+                w = K.split(b["text"][i:j])
+                h, place = w.hashes(), np.arange(len(w.starts), dtype=np.uint64) - np.repeat(w.at[:-1], w.n_words).astype(np.uint64)
+                both = [K.spread(w.at, K.mix(h * s + place)).view(np.int64) for s in (np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407))]
+                yield pa.RecordBatch.from_arrays([*(b[c][i:j] for c in names), pa.array(w.n_words), *map(pa.array, both)], [*names, "size", "d1", "d2"])
+
+    return docs.mapInArrow(count, f"{kinds}, size long, d1 long, d2 long")
+
 
-    return docs.mapInArrow(count, f"{kinds}, size long")
+def shared(rows: DataFrame) -> DataFrame:
+    """rows with degree: how many sources hold the document's words, down to a power of two."""
+    source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
+    n = rows.where("size > 0").select("d1", "d2", source.alias("s")).distinct().groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1")
+    out = rows.join(n.hint("merge"), ["d1", "d2"], "left")  # a sorted join, whose frequent texts Spark splits
+    return out.withColumn("degree", F.expr("int(pow(2, floor(log2(coalesce(n, 1)))))")).drop("n")
 
 
 def choose(rows: DataFrame, plan: DataFrame, work: Work, seed: int = SEED) -> DataFrame:
@@ -167,37 +185,41 @@ def choose(rows: DataFrame, plan: DataFrame, work: Work, seed: int = SEED) -> Da
 def mix(docs: DataFrame, members: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
-    members: an array column of the sources that a document may count for; its own source alone if None. source_size and
-    target are those of `source`. Null text: size 0 and taken 0. Null source: a source of its own, last. Repeated rows are
-    documents of their own. Nothing is dropped: a document that the mix leaves out has taken 0.
+    members: an array column of the sources that a document may count for (null: its own; a null element is the null
+    source, and names that no document has as its source are passed over). If None, a document counts for its own source,
+    and its pattern is that source and how many hold its text. source_size and target are those of `source`. Null text: size
+    0 and taken 0. Null source: a source of its own, last. Repeated rows are documents of their own. Nothing is dropped: a
+    document that the mix leaves out has taken 0.
     """
     spark = docs.sparkSession
     tune(spark)
     work = Work(spark, "mix")
     if members:
-        rows = work.put(sized(docs.withColumn(members, F.array_sort(F.array_distinct(members))), (members,)).withColumnRenamed(members, "members"))
+        docs = docs.withColumn("members", F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array(F.col("source").cast("string"))))))
+        rows = work.put(sized(docs, ("members",)).withColumn("degree", F.lit(1)))
     else:
-        rows = work.put(sized(docs).withColumn("members", F.array("source")))
+        rows = work.put(shared(work.put(sized(docs))).withColumn("members", F.array("source")))
     by_source = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    by_pattern = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    by_pattern = rows.groupBy("members", "degree").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(by_source) > MOST_SOURCES or len(by_pattern) > MOST_PATTERNS:
         raise ValueError("too many sources or membership patterns")
     by_source.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    by_pattern.sort(key=lambda r: [(x is None, x or "") for x in r[0]])
+    by_pattern.sort(key=lambda r: ([(x is None, x or "") for x in r[0]], r[1]))
     names = [r[0] for r in by_source]
     sizes = [r[1] for r in by_source]
     target = targets(sizes, weights(names))
     number = {s: i for i, s in enumerate(names)}
     patterns = [tuple(number[s] for s in r[0] if s in number) for r in by_pattern]
-    flow = route(patterns, [r[1] for r in by_pattern], [int(t + 0.5) for t in target])
-    plan = [(i, min(REPEATS, sum(f.values()) // max(r[1], 1)), sum(f.values()) % max(r[1], 1) if r[1] else 0) for i, (f, r) in enumerate(zip(flow, by_pattern))]
+    flow = route(patterns, [r[2] for r in by_pattern], [int(t + 0.5) for t in target], degree=[r[1] for r in by_pattern])
+    plan = [(i, min(REPEATS, sum(f.values()) // max(r[2], 1)), sum(f.values()) % max(r[2], 1) if r[2] else 0) for i, (f, r) in enumerate(zip(flow, by_pattern))]
     text = T.StringType()
     table = lambda data, schema: spark.createDataFrame(data, schema)  # noqa: E731  (bounded by MOST_SOURCES, MOST_PATTERNS)
     of_source = table([(s, int(z), float(t)) for s, z, t in zip(names, sizes, target)], T.StructType([T.StructField("s", text), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]))
-    of_members = table([(list(r[0]), i) for i, r in enumerate(by_pattern)], T.StructType([T.StructField("m", T.ArrayType(text)), T.StructField("pattern", T.IntegerType())]))
-    numbered = rows.join(F.broadcast(of_members), F.col("members").eqNullSafe(F.col("m"))).join(F.broadcast(of_source), F.col("source").eqNullSafe(F.col("s"))).drop("m", "s", "members")
+    of_members = table([(list(r[0]), r[1], i) for i, r in enumerate(by_pattern)], T.StructType([T.StructField("m", T.ArrayType(text)), T.StructField("d", T.IntegerType()), T.StructField("pattern", T.IntegerType())]))
+    same = F.col("members").eqNullSafe(F.col("m")) & (F.col("degree") == F.col("d"))
+    numbered = rows.drop("d1", "d2").join(F.broadcast(of_members), same).join(F.broadcast(of_source), F.col("source").eqNullSafe(F.col("s"))).drop("m", "d", "s", "members", "degree")
     taken = choose(numbered, table(plan, "pattern int, whole long, rest long"), work)
-    return taken.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return few(taken.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

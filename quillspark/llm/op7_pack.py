@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import tokens
-from quillspark.llm.store import Work, tune
+from quillspark.llm.store import Work, few, tune
 
 SEQUENCE, END = 2048, 0
 #: Hash ranges of each length, ranked apart.
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, ranks_path: str | None = None, size: int = SEQUENCE) -
             at = np.searchsorted(key, length * -(1 << 48) + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(plan[at, 2] + rank - plan[at, 1]), pa.array(plan[at, 3])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return few(ranked.mapInArrow(place, f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import tokens
-from quillspark.llm.store import Work, tune
+from quillspark.llm.store import Work, few, tune
 
 #: Pieces under one leaf of a tree: leaves stay a small part of the text's size.
 LEAF = 32
@@ -186,7 +186,7 @@ def counts(docs: DataFrame, edits: str | None = None, ranks_path: str | None = N
     spark = docs.sparkSession
     tune(spark)
     kept = Work(spark, "counts").put(states(docs.select("doc_id", "text", *([F.col(edits).alias("edits")] if edits else [])), ranks_path))
-    return edited(kept, "edits" if edits else None, ranks_path).select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded")
+    return few(edited(kept, "edits" if edits else None, ranks_path).select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

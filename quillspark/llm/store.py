@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a record batch sent to Python. Long texts: Spark also ends a batch at this many bytes.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+#: Tasks a core, at most, that write a table.
+WAVES = 4
 
 
 def tune(spark: SparkSession) -> None:
@@ -21,14 +24,21 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of this machine only where it is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder if all tasks run on this machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def few(df: DataFrame) -> DataFrame:
+    """At most so many partitions, and so files, as keep every core of the cluster busy for some rounds."""
+    return df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Work:
     """A folder of written tables. A written table cuts lineage, so that a lost executor costs one stage at most."""
 
@@ -40,7 +50,7 @@ class Work:
         self.n += 1
         path = f"{self.at}/{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        few(df).write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._work_path = path
         return out

@@ -30,6 +30,7 @@ def edge_texts():
             out.append(" ".join(w))
     passage = " ".join(r.choices(vocab, k=60))
     out += [f"{b[:200]} {passage} {b[300:]}" for b in base[:6]]
+    out += ["r " * 40, "x " + "r " * 25, "p q " * 30, "z " + "q p " * 22, "p q r " * 12, f"r r {passage} p q p q", f"q {passage} r r r"]  # runs and periods
     out += ["long " * 3 + " ".join(r.choices(vocab, k=60_000)), "\n".join(["line one", "line one", "", "x", " x", "x"])]
     return [(i, t, None if i % 7 == 0 else f"s{i % 3}") for i, t in enumerate(out)]
 
@@ -241,6 +242,85 @@ def test_quality(spark, case):
     assert all(r.kept for r in quality(df, labels.limit(0)).collect())
 
 
+def test_quality_shrinks_sites(spark):
+    """Site rates, strengths and posteriors against plain Python over the same logits."""
+    from collections import defaultdict
+
+    from quillspark.llm.op1_quality import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    site = {r.doc_id: (r.source, r.lang) for r in docs.collect()}
+    out = quality(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()
+    paths, hosts = defaultdict(lambda: [0, 0.0]), defaultdict(lambda: [0, 0.0])
+    for r in out:
+        for group, key in ((paths, site[r.doc_id]), (hosts, site[r.doc_id][0])):
+            group[key][0] += 1
+            group[key][1] += 1 / (1 + np.exp(-r.quality_logit))
+    total = sum(n for n, _ in hosts.values())
+    rate = sum(s for _, s in hosts.values()) / total
+
+    def strength(groups):
+        between = sum(n * (s / n) ** 2 for n, s in groups.values()) / total - rate**2 - len(groups) * rate * (1 - rate) / total
+        return float(np.clip(rate * (1 - rate) / between - 1, 1, 1e6)) if between > 1e-9 else 1e6
+
+    a, b = strength(hosts), strength(paths)
+    for r in out:
+        (n, s), (hn, hs) = paths[site[r.doc_id]], hosts[site[r.doc_id][0]]
+        q = (s + b * (hs + a * rate) / (hn + a)) / (n + b)
+        assert r.site_rate == pytest.approx(q, rel=1e-6)
+        z = r.quality_logit + np.log(q / (1 - q)) - np.log(rate / (1 - rate))
+        assert r.p_quality == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+
+
+def test_quality_takes_the_worst_of_repeated_labels(spark):
+    from quillspark.llm.op1_quality import quality
+
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad stuff there ") * 9, "s", "en") for i in range(80)], "doc_id long, text string, source string, lang string")
+    plain = [(i, i % 2, 0) for i in range(80)]
+    one = quality(docs, spark.createDataFrame(plain, "doc_id long, quality int, toxic int"))
+    two = quality(docs, spark.createDataFrame(plain + [(i, 1, 0) for i in range(0, 80, 2)], "doc_id long, quality int, toxic int"))
+    assert got(one, "quality_logit", "kept") == got(two, "quality_logit", "kept")
+    assert {r.doc_id % 2 for r in one.where("kept").collect()} == {1}
+
+
+def test_log_likelihood_ratio(spark):
+    """llr and verdicts against plain counts of words and pairs in hashed buckets."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from quillspark.llm import op5_rules as R
+    from quillspark.llm import words as K
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    good = [d for d, _ in docs[::3]]
+    labels = spark.createDataFrame([(d, 1, 0) for d in good], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame([(d, t, None) for d, t in docs], SCHEMA)
+    h = {r.doc_id: r.h for r in labels.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    out = {r.doc_id: r for r in R.rules(df, labels).collect()}
+
+    def grams(t):
+        w = brute.words((t or "").translate(brute.LOW))
+        b = K.split(pa.array([" ".join(w)]))
+        x = b.hashes()
+        two, _ = K.grams(x, b.at, 2)
+        return [int(v) >> 46 for v in x.tolist() + two.tolist()]
+
+    raw, target = Counter(), Counter()
+    for d, t in docs:
+        raw.update(grams(t))
+        if d in h and h[d] % 2 == 0:
+            target.update(grams(t))
+    n_raw, n_target = sum(raw.values()) + R.BUCKETS, sum(target.values()) + R.BUCKETS
+    ratio = lambda g: math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw)
+    llr = {d: (lambda g: sum(map(ratio, g)) / len(g) if g else 0.0)(grams(t)) for d, t in docs}
+    assert all(out[d].llr == pytest.approx(v, abs=1e-5) for d, v in llr.items())
+    held = [llr[d] for d in good if h[d] % 2 and out[d].n_words >= 10]
+    edge = sum(held) / len(held) - R.MARGIN
+    assert all(out[d].kept == (not out[d].base_failed and v >= edge) for d, v in llr.items() if abs(v - edge) > 1e-4)
+
+
 def test_quality_held_out(spark):
     """Fitted on half of the labels, the other half's toxic and junk documents are found and clean ones kept."""
     from quillspark.llm.op1_quality import quality
@@ -304,6 +384,76 @@ def test_warc(spark, tmp_path, rows, least):
     assert all(r.header.startswith(b"WARC/1.1\r\n") and r.header.endswith(b"\r\n\r\n") for r in back)
 
 
+def test_warc_stores_repeated_rows_once(spark, tmp_path):
+    from quillspark.llm import op2_warc as W
+
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "same"), (1, None, "same"), (None, "u", "same"), (0, "u", "same"), (None, "w", "other"), (None, None, "other")]
+    W.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/a")
+    store = W.read(spark, f"file://{tmp_path}/a")
+    assert sorted(bytes(r.payload) for r in store.where("payload is not null").collect()) == [b"other", b"same"]
+    back = W.reconstruct(store).collect()
+    assert sorted((str(r.page_id), bytes(r.payload).decode()) for r in back) == sorted((str(p), h) for p, _, h in rows)
+    assert all(r.refers_to == 1 for r in back if r.record_type == "revisit" and bytes(r.payload) == b"same")
+
+
+def test_warc_refuses_changed_payloads(spark, tmp_path):
+    from quillspark.llm import op2_warc as W
+
+    W.write(spark.createDataFrame([(1, "u", "payload")], "page_id long, url string, html string"), f"file://{tmp_path}/a")
+    at = next((tmp_path / "a").glob("*.gz"))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc").write_bytes(W.unzipped(at.read_bytes()).replace(b"payload\r", b"paylaod\r"))
+    with pytest.raises(Exception, match="digests"):
+        W.read(spark, f"file://{tmp_path}/b").collect()
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+def test_against_sql(spark, name):
+    from tests.oracle import compare
+
+    got_rows, want = compare(spark, catalogue.QUERIES[name], catalogue.ORACLES[name], SF)
+    assert got_rows == want
+
+
+def test_equal_windows_are_represented_alike():
+    import pyarrow as pa
+
+    from quillspark.llm import op9_repeats as R
+    from quillspark.llm import words as K
+
+    r = random.Random(1)
+    for size in (2, 2, 3, 5, 5, 30, 400):
+        vocab = [f"w{i}" for i in range(size)]
+        passages = [[r.choice(vocab) for _ in range(r.choice([13, 14, 20, 60]))] for _ in range(6)]
+        texts = [" ".join(w for _ in range(r.randint(1, 4)) for w in [*(r.choice(vocab) for _ in range(r.randint(0, 9))), *r.choice(passages)]) for _ in range(40)]
+        b = K.split(pa.array(texts))
+        h, seen = b.hashes(), {}
+        for p, sym in zip(*(x.tolist() for x in R.symbols(h, b.at))):
+            assert seen.setdefault(tuple(h[p : p + 13].tolist()), sym) == sym
+
+
+def test_near_duplicates_of_shared_ids_and_large_buckets(spark, monkeypatch):
+    from quillspark.llm import op3_minhash as M
+
+    monkeypatch.setattr(M, "TILE_TEXTS", 8)
+    r = random.Random(7)
+    vocab = [f"v{i}" for i in range(500)]
+    base = r.choices(vocab, k=150)
+    rows = []
+    for i in range(120):  # a large group whose members are similar to some others only
+        w = list(base)
+        for k in range(r.randint(0, 7)):
+            w[r.randrange(150)] = r.choice(vocab)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([(d, t, None) for d, t in rows], SCHEMA)
+    assert got(M.near_duplicates(df), "n_shingles", "component_id", "kept") == brute.near(rows)
+    one, two = (" ".join(r.choices(vocab, k=80)) for _ in range(2))
+    rows = [(5, one), (5, two), (5, one), (7, two), (9, one), (3, "a b c d"), (3, "e f g h"), (4, "e f g h"), (1, "x y z")]
+    out = M.near_duplicates(spark.createDataFrame([(d, t, None) for d, t in rows], SCHEMA)).collect()
+    assert len(out) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in out} == {(5, 5), (7, 5), (9, 5), (3, 3), (4, 3), (1, 1)}
+
+
 def test_warc_query(spark):
     out = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in catalogue.QUERIES["op2_warc"](spark, SF).collect()}
     assert out == brute.warc([(r.page_id, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()])
@@ -333,6 +483,116 @@ def test_vectors_query(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in catalogue.QUERIES["op4_cover_tree"](spark, SF).collect()} == brute.vectors(rows)
 
 
+def test_vectors_of_many_lengths_and_sizes(spark):
+    from quillspark.llm.op4_cover import near_vectors
+
+    g = np.random.default_rng(4)
+    rows = []
+    for dim in [*range(1, 30), 1500]:
+        c = g.normal(size=dim)
+        rows += [(len(rows) + i, (s * (c + 0.25 * g.normal(size=dim))).tolist()) for i, s in enumerate((1.0, 1e250, 1e-250, 5.0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    few = [(i, v) for i, v in scaled if len(v) in (1, 7, 1500)]
+    some = df.where("size(embedding) in (1, 7, 1500)")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(some, group=3).collect()} == brute.vectors(few)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()} == brute.vectors(scaled)
+
+
+def test_flow_costs_least():
+    """Costs of route() against unit augmentation by Bellman and Ford's shortest paths."""
+    from quillspark.llm.op6_mix import route
+
+    def least(patterns, sizes, quotas, degree, most=3):
+        arcs, n = [], len(patterns) + len(quotas) + 2
+        s, t = n - 2, n - 1
+        for p, members in enumerate(patterns):
+            arcs += [[s, p, sizes[p], (2 * k + 1) * degree[p]] for k in range(most)] + [[p, len(patterns) + m, 10**6, 0] for m in members]
+        arcs += [[len(patterns) + i, t, q, 0] for i, q in enumerate(quotas)]
+        arcs = [x for a, b, c, w in arcs for x in ([a, b, c, w], [b, a, 0, -w])]
+        flow = cost = 0
+        while True:
+            dist, via = [10**9] * n, [None] * n
+            dist[s] = 0
+            for _ in range(n):
+                for i, (a, b, c, w) in enumerate(arcs):
+                    if c and dist[a] + w < dist[b]:
+                        dist[b], via[b] = dist[a] + w, i
+            if dist[t] == 10**9:
+                return flow, cost
+            x = t
+            while x != s:
+                arcs[via[x]][2] -= 1
+                arcs[via[x] ^ 1][2] += 1
+                x = arcs[via[x]][0]
+            flow, cost = flow + 1, cost + dist[t]
+
+    r = random.Random(2)
+    for _ in range(25):
+        n_s = r.randint(1, 4)
+        patterns = [tuple(sorted(r.sample(range(n_s), r.randint(0, n_s)))) for _ in range(r.randint(1, 6))]
+        sizes, quotas = [r.randint(0, 9) for _ in patterns], [r.randint(0, 25) for _ in range(n_s)]
+        degree = [r.choice([1, 2, 4]) for _ in patterns]
+        flow = route(patterns, sizes, quotas, degree=degree)
+        used = [sum(f.values()) for f in flow]
+        cost = sum((2 * k + 1) * d * min(max(u - k * z, 0), z) for u, z, d in zip(used, sizes, degree) for k in range(3))
+        assert (sum(used), cost) == least(patterns, sizes, quotas, degree)
+        assert all(sum(f.get(s, 0) for f in flow) <= q for s, q in enumerate(quotas)) and all(set(f) <= set(p) for f, p in zip(flow, patterns))
+
+
+def test_mix_takes_own_texts_before_shared_ones(spark):
+    from quillspark.llm.op6_mix import mix
+
+    rows = [(i, f"own {i} text", "a") for i in range(40)] + [(100 + i, f"shared {i} text", "a") for i in range(40)] + [(200 + i, f"shared {i} text", "b") for i in range(40)]
+    rows += [(300 + i, f"more {i} words", "b") for i in range(40)]
+    out = {r.doc_id: r.taken for r in mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(out[i] for i in range(40)) > sum(out[100 + i] for i in range(40))  # a's target is less than its size
+    assert sum(out[300 + i] for i in range(40)) > sum(out[200 + i] for i in range(40))
+
+
+def test_mix_null_members(spark):
+    from quillspark.llm.op6_mix import mix
+
+    rows = [(1, "a b c", "s", None), (2, "d e f", None, None), (3, "g h i", "s", ["t", "nobody"]), (4, "j k l", "t", [None, "t"]), (5, "m", "t", [])]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string, m array<string>"), "m").collect()
+    assert sorted(r.doc_id for r in out) == [1, 2, 3, 4, 5]
+    assert not next(r.taken for r in out if r.doc_id == 5)
+
+
+def test_steps_pack_as_best_fit():
+    from quillspark.llm.op7_pack import steps
+
+    r = random.Random(8)
+    for size in (10, 64, 200):
+        for n in (0, 1, 7, 60, 400):
+            lengths = [min(size, int(r.choice([r.uniform(1, size + 1), r.expovariate(5 / size) + 1]))) for _ in range(n)]
+            free: list[int] = []
+            for x in sorted(lengths, reverse=True):
+                fits = [g for g in free if g >= x]
+                if fits:
+                    free[free.index(min(fits))] -= x
+                else:
+                    free.append(size - x)
+            plan = steps({x: lengths.count(x) for x in set(lengths)}, size)
+            assert (len(set()) if not n else plan[:, 2].max() + 1 <= len(free)) or not n
+
+
+def test_exchange_ends_where_no_move_helps():
+    from quillspark.llm.op10_brown import exchange, likelihood
+
+    g = np.random.default_rng(3)
+    table = g.poisson(2.0, (24, 24)).astype(float)
+    table[:12, 12:] += g.poisson(6.0, (12, 12))
+    score = lambda label: likelihood((lambda one: one.T @ table @ one)(np.eye(4)[label]))
+    label = exchange(table, 4, 200)
+    best = score(label)
+    for u in range(24):
+        for c in range(4):
+            moved = label.copy()
+            moved[u] = c
+            assert score(moved) <= best + 1e-6
+
+
 def test_flow_of_overlapping_sources(spark):
     from quillspark.llm.op6_mix import mix, route
 
