@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Categories in order, the first whose keyword occurs wins.
 CATEGORIES = [
@@ -41,11 +46,19 @@ SYNONYMS = {
 PARTICLES = "은|는|이|가|을|를|에|의|로|으로|와|과|도|만|서|에서|에게|고|며|면|으며|어|아|지|거나|어서|아서|는데|지만|면서|도록|으면|습니다|입니다|합니다"
 ENDINGS = "거나|으며|어서|아서|는데|지만|면서|도록|으면"
 # Words of names and texts of material for learning English, and of technical texts that aren't.
-STUDY_WORDS = "영어 회화 구동사 영작 패턴회화 생활영어 영문법 영어교재 원어민 미국인 외국인 쉐도잉 이디엄 숙어 영어단어 영어표현 이보영 오성식 토마토 해커스 시나공 능률 넥서스 길벗".split() + ["english materials"]
+STUDY_WORDS = [
+    "영어", "회화", "구동사", "영작", "패턴회화", "생활영어", "영문법", "영어교재", "원어민", "미국인", "외국인", "쉐도잉", "이디엄", "숙어", "영어단어", "영어표현", "이보영", "오성식", "토마토", "해커스", "시나공",
+    "능률", "넥서스", "길벗", "english materials",
+]
 STUDY_PATTERN = "english|speaking|grammar|toeic|toefl|opic|vocabulary|voca|idioms?|phrasal|conversation"
-STUDY_TITLES = "영어회화 영어단어 영어문법 패턴회화 생활영어 영어교재 toeic toefl".split() + ["03_english materials"]
+STUDY_TITLES = [
+    "영어회화", "영어단어", "영어문법", "패턴회화", "생활영어", "영어교재", "toeic", "toefl", "03_english materials",
+]
 STUDY_CUES = ["phrasal verb", "dialogue", "idiom", "grammar in use", "speaking drill", "pronunciation tip"]
-TECH_WORDS = "anthropic openai claude chatgpt gemini llm coding 프롬프트 엔지니어링 바이브코딩 software api agentic 개발자 스타트업 erp 무역원장 notebooklm 노트북lm google 구글 sdlc".split() + ["context engineering", "boris cherny"]
+TECH_WORDS = [
+    "anthropic", "openai", "claude", "chatgpt", "gemini", "llm", "coding", "프롬프트", "엔지니어링", "바이브코딩", "software", "api", "agentic", "개발자", "스타트업", "erp",
+    "무역원장", "notebooklm", "노트북lm", "google", "구글", "sdlc", "context engineering", "boris cherny",
+]
 
 
 def text(c: Column | str) -> Column:
@@ -167,8 +180,8 @@ def margin_noise(c: Column) -> Column:
     words = F.split(c, " ", -1)
     mark = lambda w: (strip(w) == "") | ((F.length(strip(w)) <= 3) & ~w.rlike("[가-힣A-Za-z]"))
     lead = F.array_position(F.transform(words, mark), False)
-    bare = F.when(lead == 0, "").when(lead > 2, F.array_join(F.slice(words, lead, F.size(words)), " ")).otherwise(c)
-    one = F.when((F.size(words) == 1) & (lead == 0), c).otherwise(bare)
+    bare = F.when(lead == 0, F.when(F.size(words) == 1, c).otherwise("")).when(lead > 2, F.array_join(F.slice(words, lead, F.size(words)), " ")).otherwise(c)
+    one = F.when(c.rlike("^[^ 가-힣A-Za-z]* "), bare).otherwise(c)  # else the first word is no mark
     for pattern, new in ((r"(?U)^[\s*|~^@、。]+", ""), (r"(?U)[\sᆞ~_|@#^*、。]+$", ""), (r"(?U)\s*ᆞ+\s*", " ")):
         one = F.regexp_replace(one, pattern, new)
     return F.when(strip(c) == "", "").when(c.rlike(BLOCK_START), c).otherwise(strip(one))
@@ -195,19 +208,24 @@ def latin_word_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=[A-Za-z’'.,;:-])[ \t]*\n[ \t]*(?=[A-Za-z’'.,;:!?-]{1,20}[ \t]*(?:\n|\z))", " ")
 
 
-def word_per_line(c: Column) -> Column:
-    """Three or more lines in a row of one Hangul word of up to eight letters each become one line."""
-    one = lambda x: x.rlike("^\\s*[“\"'‘(]?[가-힣]{1,8}[.,!?”\"'’)…]*\\s*$")
-    none = F.array().cast("array<string>")
+_one_word = re.compile("\\s*[“\"'‘(]?[가-힣]{1,8}[.,!?”\"'’)…]*\\s*")
 
-    def flushed(acc: Column) -> Column:
-        return F.concat(acc["done"], F.when(F.size(acc["run"]) >= 3, F.array(F.array_join(acc["run"], " "))).otherwise(acc["run"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(one(x), F.concat(acc["run"], F.array(strip(x)))).otherwise(none)
-        return F.struct(F.when(one(x), acc["done"]).otherwise(F.concat(flushed(acc), F.array(x))).alias("done"), run.alias("run"))
+@F.pandas_udf(StringType())
+def _word_per_line(x: pd.Series) -> pd.Series:
+    def one(t: str) -> str:
+        out: list[str] = []
+        for single, run in groupby(t.split("\n"), lambda line: bool(_one_word.fullmatch(line))):
+            run = [line.strip() for line in run] if single else list(run)
+            out += [" ".join(run)] if single and len(run) >= 3 else run
+        return "\n".join(out)
 
-    return F.aggregate(lines(c), F.struct(none.alias("done"), none.alias("run")), step, lambda acc: F.array_join(flushed(acc), "\n"))
+    return x.map(one, na_action="ignore")
+
+
+def word_per_line(c: Column) -> Column:
+    """Three or more lines in a row of one Hangul word of up to eight letters each become one line."""
+    return _word_per_line(c)
 
 
 def canonical(slug: Column) -> Column:
@@ -241,23 +259,36 @@ def table(rows: Column) -> Column:
     return F.when(F.size(full) == 0, "").when(wide | (width == 1), flat).otherwise(grid)
 
 
-def joined_paragraphs(c: Column) -> Column:
-    """Lines broken inside a sentence joined by a space. The decision reads the line joined so far, hence a fold."""
-    block = lambda x: x.rlike(BLOCK_START)
+_block = re.compile(BLOCK_START.removeprefix("(?U)")).match
+_short_goes_on = re.compile("(?:은|는|이|가|을|를|에|의|로|으로|와|과|도|만|고|며|면|서|등|,)$").search
+_chapter = re.compile(r"(?i)(?:PART|CHAPTER|SECTION|제\s*\d+\s*[장절편]|부록|감사의\s*글|\d+[.．]\s|\|)").match
+
 
-    def joins(prev: Column, nxt: Column) -> Column:
-        a, b = strip(prev), strip(nxt)
-        short = (F.length(a) < 10) & ~a.rlike("(?:은|는|이|가|을|를|에|의|로|으로|와|과|도|만|고|며|면|서|등|,)$")
-        chapter = b.rlike(r"(?i)^(?:PART|CHAPTER|SECTION|제\s*\d+\s*[장절편]|부록|감사의\s*글|\d+[.．]\s|\|)")
-        ended = a.rlike(r"[.!?。！？…:;]$") & ~(a.rlike("^[“\"‘']") & ~a.rlike("[”\"’']$"))
-        return (a != "") & (b != "") & ~short & ~chapter & ~block(prev) & ~block(nxt) & ~ended & ~nxt.rlike("^(?:  |\t|　)")
+def join_lines(text: str) -> str:
+    """Lines broken inside a sentence joined by a space. What decides of the line joined so far is how it begins, ends and how long it is."""
+    out: list[list[str]] = []
+    size = 0
+    for line in text.split("\n"):
+        bare = line.strip()
+        if out and out[-1][0].strip() and bare:
+            first, end = out[-1][0].lstrip(), out[-1][-1].rstrip()
+            short = size < 10 and not _short_goes_on(end)
+            ended = end[-1] in ".!?。！？…:;" and not (first[0] in "“\"‘'" and end[-1] not in "”\"’'")
+            if not (short or ended or _chapter(bare) or _block(out[-1][0]) or _block(line) or line.startswith(("  ", "\t", "　"))):
+                out[-1][-1] = out[-1][-1].rstrip()
+                out[-1].append(line.lstrip())
+                size += 1 + len(bare)
+                continue
+        out.append([line])
+        size = len(bare)
+    return "\n".join(map(" ".join, out))
 
-    rtrim, ltrim = (lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), (lambda x: F.regexp_replace(x, r"(?U)^\s+", ""))
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
 
-    def step(acc: Column, x: Column) -> Column:
-        go = F.coalesce(joins(acc["cur"], x), F.lit(False))
-        done = F.when(go | acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
-        return F.struct(done.alias("done"), F.when(go, F.concat(rtrim(acc["cur"]), F.lit(" "), ltrim(x))).otherwise(x).alias("cur"))
+@F.pandas_udf(StringType())
+def _join_lines(x: pd.Series) -> pd.Series:
+    return x.map(join_lines, na_action="ignore")
 
-    return F.aggregate(lines(c), zero, step, lambda acc: F.array_join(F.concat(acc["done"], F.array(acc["cur"])), "\n"))
+
+def joined_paragraphs(c: Column) -> Column:
+    """Lines broken inside a sentence joined by a space, in one pass over each text."""
+    return _join_lines(c)

@@ -1,4 +1,4 @@
-"""What Spark has no built-in for: NFKC, encoding detection. ASCII rows never reach Python."""
+"""What Spark has no built-in for: NFKC, encoding detection."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ from pyspark.sql.types import StringType
 
 @F.pandas_udf(StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None else None)
+    return x.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def nfkc(c: Column) -> Column:
-    return F.coalesce(_nfkc(F.when(~c.rlike(r"^\p{ASCII}*$"), c)), c)
+    return _nfkc(c)  # c stands once: what a Python function reads of an expression twice is evaluated twice
 
 
 def decode(raw: bytes | None) -> tuple[str, str]:
@@ -29,15 +29,10 @@ def decode(raw: bytes | None) -> tuple[str, str]:
         return "utf-8", raw.decode("utf-8")
     except UnicodeDecodeError:
         pass
-    try:
-        return "cp949", raw.decode("cp949")
-    except UnicodeDecodeError:
-        pass
     try:
         from charset_normalizer import from_bytes
-
-        best = from_bytes(raw).best()
-        name = best.encoding if best else "cp949"
-    except ImportError:
-        name = "cp949"
+    except ImportError:  # without the detector, CP949 comes next
+        return "cp949", raw.decode("cp949", "replace")
+    best = from_bytes(raw).best()
+    name = best.encoding if best else "cp949"
     return name, raw.decode(name, "replace")

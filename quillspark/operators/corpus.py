@@ -25,12 +25,12 @@ def top_terms(docs: DataFrame, least: int = 3, most: int = 20, head: int = 4000)
 
 def gram_frequency(pages: DataFrame, book: str, page: str, n: int = 4) -> DataFrame:
     """In how many pages of a book each n-gram of letters occurs on an edge line (first or last two), and anywhere."""
-    rows = exploded_lines(pages.select(book, page, "text"), page).join(pages.select(page, book), page).where(F.trim("line") != "")
-    w = Window.partitionBy(page)
-    rows = rows.withColumns({"up": F.row_number().over(w.orderBy("line_no")), "down": F.row_number().over(w.orderBy(F.desc("line_no")))})
-    bare = F.regexp_replace(F.lower("line"), "[^a-z가-힣]", "")
-    grams = F.when(F.length(bare) >= n, F.transform(F.sequence(F.lit(1), F.length(bare) - n + 1), lambda i: F.substr(bare, i, F.lit(n))))
-    each = rows.select(book, page, F.explode(F.array_distinct(grams)).alias("gram"), (F.least("up", "down") <= 2).alias("edge"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    solid = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: F.trim(x["line"]) != "")
+    rows = pages.select(book, page, solid.alias("solid")).select(book, page, F.size("solid").alias("n_lines"), F.posexplode("solid").alias("up", "x"))
+    letters = rows.select(book, page, (F.least(F.col("up"), F.col("n_lines") - 1 - F.col("up")) < 2).alias("edge"), F.regexp_replace(F.lower("x.line"), "[^a-z가-힣]", "").alias("bare"))
+    # every place's n letters, found in one pass over the line
+    each = letters.select(book, page, "edge", F.explode(F.array_distinct(F.regexp_extract_all("bare", F.lit(f"(?=(.{{{n}}}))"), 1))).alias("gram"))
     return each.groupBy(book, "gram", page).agg(F.max("edge").alias("edge")).groupBy(book, "gram").agg(F.count("*").alias("all_df"), F.sum(F.col("edge").cast("long")).alias("edge_df"))
 
 
@@ -76,10 +76,10 @@ def status_report(details: DataFrame) -> DataFrame:
 
 
 def outside_tables(blocks: DataFrame, tables: DataFrame, slack: float = 5.0) -> DataFrame:
-    """Blocks whose centre lies in no table's box of their page, widened by `slack`."""
-    b, t = blocks.alias("b"), tables.select("page", "x0", "y0", "x1", "y1").alias("t")
-    cond = (F.col("b.page") == F.col("t.page")) & F.col("b.cx").between(F.col("t.x0") - slack, F.col("t.x1") + slack) & F.col("b.cy").between(F.col("t.y0") - slack, F.col("t.y1") + slack)
-    return b.join(t, cond, "left_anti")
+    """Blocks (doc, page, cx, cy) whose centre lies in no table's box (doc, page, x0, y0, x1, y1) of their page, widened by `slack`."""
+    b, t = blocks.alias("b"), tables.select("doc", "page", "x0", "y0", "x1", "y1").distinct().alias("t")
+    inside = F.col("b.cx").between(F.col("t.x0") - slack, F.col("t.x1") + slack) & F.col("b.cy").between(F.col("t.y0") - slack, F.col("t.y1") + slack)
+    return b.join(t, (F.col("b.doc") == F.col("t.doc")) & (F.col("b.page") == F.col("t.page")) & inside, "left_anti")
 
 
 def column_of(cx: Column, gutters: Column) -> Column:

@@ -79,8 +79,9 @@ def doc_id_hash(t):
 
 @query(f"SELECT category, language, lang, count(*) AS n FROM (SELECT lang, {_category_sql} AS category, {_language_sql} AS language FROM (SELECT lang, text AS t, lower(' ' || substr(text, 1, 3000)) AS x FROM documents)) GROUP BY ALL")
 def category_language_report(t):
-    d = t("documents").withColumn("text", X.tidy(F.col("text")))
-    return d.groupBy(X.category(F.col("text")).alias("category"), X.language(F.col("text")).alias("language"), "lang").agg(F.count("*").alias("n"))
+    d = t("documents").select("lang", X.tidy(F.col("text")).alias("text"))
+    d = d.select("lang", X.category(F.col("text")).alias("category"), X.language(F.col("text")).alias("language"))
+    return d.groupBy("category", "language", "lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
@@ -187,14 +188,14 @@ def target_names(t):
     return O.target_names(t("documents").selectExpr("source stem", "lang ext", "cast(doc_id as string) name"))
 
 
-_block = "l_orderkey % 50 AS page, l_partkey % 600 AS cx, l_suppkey % 800 AS cy"
+_block = "CAST(l_quantity AS BIGINT) AS doc, l_orderkey % 50 AS page, l_partkey % 600 AS cx, l_suppkey % 800 AS cy"
 
 
-@query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_block} FROM lineitem), t AS (SELECT p_partkey % 50 AS page, p_partkey % 500 AS x0, p_partkey % 700 AS y0 FROM part WHERE p_partkey % 9 = 0)
-SELECT l_orderkey, l_linenumber FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = b.page AND b.cx BETWEEN x0 - 5 AND x0 + 55 AND b.cy BETWEEN y0 - 5 AND y0 + 25)""")
+@query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_block} FROM lineitem), t AS (SELECT DISTINCT p_size AS doc, p_partkey % 50 AS page, p_partkey % 500 AS x0, p_partkey % 700 AS y0 FROM part)
+SELECT l_orderkey, l_linenumber FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = b.doc AND t.page = b.page AND b.cx BETWEEN x0 - 5 AND x0 + 55 AND b.cy BETWEEN y0 - 5 AND y0 + 25)""")
 def blocks_outside_tables(t):
     b = t("lineitem").selectExpr("l_orderkey", "l_linenumber", *_block.split(", "))
-    return O.outside_tables(b, t("part").where("p_partkey % 9 = 0").selectExpr("p_partkey % 50 page", "p_partkey % 500 x0", "p_partkey % 700 y0", "p_partkey % 500 + 50 x1", "p_partkey % 700 + 20 y1")).select("l_orderkey", "l_linenumber")
+    return O.outside_tables(b, t("part").selectExpr("p_size doc", "p_partkey % 50 page", "p_partkey % 500 x0", "p_partkey % 700 y0", "p_partkey % 500 + 50 x1", "p_partkey % 700 + 20 y1")).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT l_partkey % 600 AS cx, CAST(CASE WHEN l_partkey % 600 >= 400 THEN 2 WHEN l_partkey % 600 >= 200 THEN 1 ELSE 0 END AS INTEGER) AS col, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -270,9 +271,11 @@ def contents_pages(t):
     return page.select("page", P.contents_page(F.col("text")).alias("contents"))
 
 
-@query("SELECT conv_id AS doc, count(*) AS pages, CAST(sum(length(trim(substr(coalesce(text, ''), 1, CAST(conv_id % 40 AS INTEGER)), ' '))) AS BIGINT) AS chars, sum(length(trim(substr(coalesce(text, ''), 1, CAST(conv_id % 40 AS INTEGER)), ' '))) < 20 * count(*) AS scan FROM conversations GROUP BY conv_id")
+@query("""WITH p AS (SELECT conv_id AS doc, text FROM conversations UNION ALL SELECT -1 - o_orderkey, o_orderstatus FROM orders)
+SELECT doc, count(*) AS pages, CAST(sum(length(trim(coalesce(text, ''), ' '))) AS BIGINT) AS chars, sum(length(trim(coalesce(text, ''), ' '))) < 20 * count(*) AS scan FROM p GROUP BY doc""")
 def scan_report(t):
-    return P.scans(t("conversations").select(F.col("conv_id").alias("doc"), F.expr("substring(text, 1, int(conv_id % 40))").alias("text")))
+    """Whole turns as pages of conversations, and orders as books of one short page."""
+    return P.scans(t("conversations").select(F.col("conv_id").alias("doc"), "text").unionByName(t("orders").selectExpr("-1 - o_orderkey AS doc", "o_orderstatus AS text")))
 
 
 @query(r"""WITH p AS (SELECT conv_id AS doc, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM conversations), q AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY turn DESC) AS back FROM p WHERE x <> '')
