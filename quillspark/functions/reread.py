@@ -11,7 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from quillspark.functions.text import foreign_glyphs, strip
 
@@ -56,10 +56,25 @@ def merge(line: Column, reading: Column) -> Column:
     return _merge(F.coalesce(line, F.lit("")), F.coalesce(reading, F.lit("")))
 
 
+def agreement(line: str, reading: str) -> float:
+    """Share of what is sound in the line that the reading has too; 0 where nothing is sound."""
+    sound = _trusted(line)
+    if not sound:
+        return 0.0
+    match = SequenceMatcher(None, line, reading, autojunk=False)
+    return sum(_trusted(line[a : a + n]) for a, _, n in match.get_matching_blocks()) / sound
+
+
+@F.pandas_udf(DoubleType())
+def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([agreement(x, y) for x, y in zip(a, b)], dtype=float)
+
+
 def fixes(readings: DataFrame) -> DataFrame:
-    """doc, line, fixed, trusted: one row per stripped line; of several readings the smallest text counts."""
-    bare = readings.select("doc", strip(F.coalesce("line", F.lit(""))).alias("line"), F.coalesce("reading", F.lit("")).alias("reading")).where("line <> ''")
-    one = bare.groupBy("doc", "line").agg(F.min("reading").alias("reading"))
+    """doc, line, fixed, trusted: one row per stripped line. Of several readings that which agrees best counts, then the longest, then the largest."""
+    bare = readings.select("doc", strip(F.coalesce("line", F.lit(""))).alias("line"), strip(F.coalesce("reading", F.lit(""))).alias("reading")).where("line <> ''")
+    each = bare.withColumn("best", F.struct(_agreement("line", "reading").alias("share"), F.length("reading").alias("n"), F.col("reading")))
+    one = each.groupBy("doc", "line").agg(F.max("best").alias("best")).select("doc", "line", "best.reading")
     return one.withColumn("m", merge(F.col("line"), F.col("reading"))).select("doc", "line", strip(F.col("m.fixed")).alias("fixed"), "m.trusted")
 
 
@@ -69,6 +84,8 @@ def repaired(texts: DataFrame, found: DataFrame) -> DataFrame:
     out = texts.join(found.groupBy("doc").agg(order.alias("_fixes")), "doc", "left")
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<n:int,line:string,fixed:string>>")
-    done = F.aggregate(F.coalesce("_fixes", none), text, lambda x, f: F.replace(x, f["line"], f["fixed"]))
+    # only the fixes whose line the text holds are folded over it
+    mine = F.filter(F.coalesce("_fixes", none), lambda f: F.contains(text, f["line"]))
+    done = F.aggregate(mine, text, lambda x, f: F.replace(x, f["line"], f["fixed"]))
     clean = F.regexp_replace(done, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{460}-\x{dff}\x{e000}-\x{f8ff}]", "")
     return out.withColumn("text", F.when(foreign_glyphs(text), clean).otherwise(text)).drop("_fixes")

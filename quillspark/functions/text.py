@@ -116,14 +116,15 @@ def summary(c: Column, most: int = 220) -> Column:
     return F.substring(F.coalesce(quote, first, F.lit("문서 내용 요약 정보가 없습니다.")), 1, most)
 
 
-def entities(c: Column, most: int = 6) -> Column:
-    """Companies, organisations, then acronyms; the first `most` distinct ones of two or more characters, sorted."""
+def entities(c: Column, most: int = 6, none: list[str] | None = None) -> Column:
+    """Companies, organisations, then acronyms; the first `most` distinct ones of two or more characters and not in `none`, sorted."""
     found = F.concat(
         F.regexp_extract_all(c, F.lit(r"(?:주식회사\s+|㈜|\(주\))([가-힣A-Za-z0-9]+)"), 1),
         F.regexp_extract_all(c, F.lit(r"([가-힣A-Za-z0-9]+(?:위원회|공사|진흥원|협회|재단|연구원|은행|대학|본부|센터))"), 1),
         F.regexp_extract_all(c, F.lit(r"([A-Z]{2,}(?:[-_][A-Z0-9]+)*)"), 1),
     )
-    return F.array_sort(F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) >= 2)), 1, most))
+    good = lambda x: (F.length(x) >= 2) & ~x.isin(*none) if none else F.length(x) >= 2
+    return F.array_sort(F.slice(F.array_distinct(F.filter(found, good)), 1, most))
 
 
 def doc_id(path: Column, changed: Column, day: str) -> Column:

@@ -19,6 +19,15 @@ def nfkc(c: Column) -> Column:
     return _nfkc(c)  # c stands once: what a Python function reads of an expression twice is evaluated twice
 
 
+@F.pandas_udf(StringType())
+def _nfc(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def nfc(c: Column) -> Column:
+    return _nfc(c)
+
+
 def decode(raw: bytes | None) -> tuple[str, str]:
     """Encoding and text: byte-order marks, then UTF-8, then what charset-normalizer finds, then CP949."""
     raw = raw or b""

@@ -88,7 +88,7 @@ def column_of(cx: Column, gutters: Column) -> Column:
 
 
 def upper_median(values: Column) -> Column:
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+    return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
 def islands(rows: DataFrame, key: str, order: str, breaks: Column) -> DataFrame:
@@ -96,8 +96,17 @@ def islands(rows: DataFrame, key: str, order: str, breaks: Column) -> DataFrame:
     return rows.withColumn("run", F.sum(F.coalesce(breaks, F.lit(False)).cast("long")).over(Window.partitionBy(key).orderBy(order)))
 
 
+def grade(mean: Column) -> Column:
+    """What a mean score is worth."""
+    return F.when(mean.isNull(), "unknown").when(mean >= 0.85, "high").when(mean >= 0.65, "medium").otherwise("low")
+
+
 def confidence(scores: DataFrame) -> DataFrame:
     """page, score: mean of positive line scores by page, and its grade."""
     mean = F.avg(F.when(F.col("score") > 0, F.col("score")))
-    grade = F.when(mean.isNull(), "unknown").when(mean >= 0.85, "high").when(mean >= 0.65, "medium").otherwise("low")
-    return scores.groupBy("page").agg(F.round(mean, 6).alias("avg_score"), grade.alias("grade"))
+    return scores.groupBy("page").agg(F.round(mean, 6).alias("avg_score"), grade(mean).alias("grade"))
+
+
+def extents(blocks: DataFrame, *keys: str) -> DataFrame:
+    """keys, x0, y0, x1, y1: the box around the blocks of each key."""
+    return blocks.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

@@ -77,16 +77,18 @@ def _segments(text: pd.Series) -> pd.Series:
 
 
 def refined_markdown(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, text: each text cleaned; null counts as empty and gives an empty text. Keys are taken as distinct."""
-    each = docs.select(key, F.posexplode(_segments(X.text("text"))).alias("at", "s")).select(key, "at", "s.*")
-    # prose and the rest part before the chain, so that only prose is evaluated by it
-    prose = each.where("prose").withColumn("text", refined_plain(F.col("text")))
-    done = prose.unionByName(each.where("NOT prose"))
-    joined = lambda keys, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(keys, "text"))), lambda x: x["text"]), sep)
-    chunks = done.groupBy(key, "chunk").agg(joined("at", "\n").alias("text"))
+    """key, text: each text cleaned, a row for each row; null counts as empty and gives an empty text.
+
+    Rows are told apart by key and text, so rows that share a key are never mixed; equal rows are cleaned as one and counted.
+    """
+    each = docs.select(F.col(key), F.md5(X.text("text")).alias("_row"), F.posexplode(_segments(X.text("text"))).alias("at", "s")).select(key, "_row", "at", "s.*")
+    done = each.withColumn("text", F.when(F.col("prose"), refined_plain(F.col("text"))).otherwise(F.col("text")))
+    joined = lambda keys, sep: F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(keys, "text"))), lambda x: x["text"]), sep)
+    chunks = done.groupBy(key, "_row", "chunk").agg(joined("at", "\n").alias("text"), F.count_if(F.col("at") == 0).alias("n"))
     chunks = chunks.withColumn("text", F.when(F.col("chunk") % 2 == 0, F.regexp_replace("text", "\n{3,}", "\n\n")).otherwise(F.col("text")))
     front = F.coalesce(F.max(F.when(F.col("chunk") < 0, F.col("text"))), F.lit(""))
     listed = F.array_sort(F.collect_list(F.when(F.col("chunk") >= 0, F.struct("chunk", "text"))))
     body = X.strip(F.array_join(F.transform(listed, lambda x: x["text"]), "```"))
-    out = chunks.groupBy(key).agg(front.alias("front"), body.alias("body"))
+    out = chunks.groupBy(key, "_row").agg(front.alias("front"), body.alias("body"), F.sum("n").cast("int").alias("n"))
+    out = out.withColumn("n", F.explode(F.sequence(F.lit(1), "n")))
     return out.select(key, F.when((F.col("front") == "") & (F.col("body") == ""), "").otherwise(F.concat("front", "body", F.lit("\n"))).alias("text"))

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import entries as E
-from quillspark.functions import korean, noise, reread
+from quillspark.functions import korean, metadata, noise, reread
 from quillspark.functions import text as X
 from quillspark.operators import blocks as B
 from quillspark.operators import books as K
 from quillspark.operators import corpus as O
+from quillspark.operators import layout, numbers, scans
 from quillspark.operators import markdown as M
 from quillspark.operators import pages as P
-from quillspark.sources import readers, sinks
+from quillspark.sources import documents, readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,10 +160,12 @@ def table_render(t):
     return rows.select("r_regionkey", X.table(cells).alias("grid"))
 
 
-@query("SELECT r_regionkey, string_agg('• ' || n_name || ': ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS glossary FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+@query("""SELECT r_regionkey, '### 시트: ' || r_name || ' (총 ' || (count(*) + 1) || '행)' || chr(10) || chr(10) || '**[분류 헤더: word - meaning]**' || chr(10) || chr(10) || string_agg('• **' || n_name || '**: ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS glossary
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""")
 def sheet_glossary(t):
-    rows = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
-    return rows.select("r_regionkey", F.array_join(F.transform("x", lambda v: F.concat(F.lit("• "), v["n_name"], F.lit(": "), v["n_nationkey"].cast("string"))), "\n").alias("glossary"))
+    rows = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    cells = F.concat(F.array(F.array(F.lit("word"), F.lit("meaning"))), F.transform("x", lambda v: F.array(v["n_name"], v["n_nationkey"].cast("string"))))
+    return rows.select("r_regionkey", readers.sheet_text(F.col("r_name"), cells).alias("glossary"))
 
 
 @query("""SELECT CASE WHEN event_id % 5 <> 0 THEN 'success' WHEN event_id % 15 = 0 THEN 'password_protected' WHEN event_id % 10 = 0 THEN 'corrupted_file' ELSE 'failed' END AS status, count(*) AS n FROM events GROUP BY ALL""")
@@ -205,7 +208,7 @@ def column_assignment(t):
 
 @query("SELECT l_orderkey, min(l_partkey) AS x0, max(l_partkey) AS x1, min(l_suppkey) AS y0, max(l_suppkey) AS y1 FROM lineitem GROUP BY ALL")
 def bbox_extents(t):
-    return t("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("x0"), F.max("l_partkey").alias("x1"), F.min("l_suppkey").alias("y0"), F.max("l_suppkey").alias("y1"))
+    return O.extents(t("lineitem").selectExpr("l_orderkey", "l_partkey x0", "l_partkey x1", "l_suppkey y0", "l_suppkey y1"), "l_orderkey")
 
 
 @query("SELECT doc_id, ls[len(ls) // 2 + 1] AS median FROM (SELECT doc_id, list_sort([length(y) FOR y IN string_split(text, chr(10))]) AS ls FROM documents)")
@@ -217,8 +220,6 @@ def upper_median(t):
 r AS (SELECT conv_id, turn, sum(CASE WHEN p IS NOT NULL AND p <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM l)
 SELECT conv_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(turn) AS first_turn FROM r GROUP BY ALL""")
 def paragraph_islands(t):
-    from pyspark.sql import Window
-
     changed = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")) != F.col("role")
     rows = t("conversations").withColumn("changed", changed)
     return O.islands(rows, "conv_id", "turn", F.col("changed")).groupBy("conv_id", "run").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
@@ -230,7 +231,16 @@ def ocr_confidence(t):
     return O.confidence(t("lineitem").selectExpr("l_orderkey page", "if(l_orderkey % 11 = 0, 0D, l_quantity / 50) score"))
 
 
-@query()
+_start = r"^(?:\s*#{1,6}\s|\s*[-*+•◦▪▫※▶▷]\s|\s*\d+[.)]\s|\s*>\s|\s*\||\s*```|\s*[-*_]{3,}\s*$)"
+
+
+@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+r AS (SELECT doc_id, ls, 1 AS i, ls[1] AS first, ls[1] AS cur, '' AS done FROM l UNION ALL
+SELECT doc_id, ls, i + 1, CASE WHEN go THEN first ELSE nxt END, CASE WHEN go THEN rtrim(cur, ' ') || ' ' || ltrim(nxt, ' ') ELSE nxt END, CASE WHEN go THEN done ELSE done || cur || chr(10) END FROM (
+SELECT *, trim(cur, ' ') <> '' AND trim(nxt, ' ') <> '' AND NOT (length(trim(cur, ' ')) < 10 AND NOT regexp_matches(trim(cur, ' '), '(?:은|는|이|가|을|를|에|의|로|으로|와|과|도|만|고|며|면|서|등|,)$'))
+AND NOT regexp_matches(trim(nxt, ' '), '^(?i)(?:PART|CHAPTER|SECTION|제\s*\d+\s*[장절편]|부록|감사의\s*글|\d+[.．]\s|\|)') AND NOT regexp_matches(first, '{_start}') AND NOT regexp_matches(nxt, '{_start}')
+AND NOT (regexp_matches(trim(cur, ' '), '[.!?。！？…:;]$') AND NOT regexp_matches(ltrim(cur, ' '), '^["“‘'']')) AND NOT regexp_matches(nxt, '^(?:  |\t|　)') AS go FROM (SELECT *, ls[i + 1] AS nxt FROM r WHERE i < len(ls))))
+SELECT doc_id, done || cur AS text FROM r WHERE i = len(ls)""")
 def paragraph_join(t):
     return t("documents").select("doc_id", X.joined_paragraphs(F.col("text")).alias("text"))
 
@@ -305,13 +315,19 @@ def column_gutters(t):
     return P.gutters(t("lineitem").selectExpr("l_orderkey AS page", "double(l_partkey % 5 * 100) AS x0", "double(l_partkey % 5 * 100 + 40 + l_suppkey % 50) AS x1")).select("page", F.explode("gutters").alias("gutter"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT DISTINCT l_orderkey AS page, l_partkey % 800 AS y FROM lineitem WHERE l_partkey % 800 > 60 AND l_partkey % 800 < 680),
+r AS (SELECT page, min(y) AS y FROM f GROUP BY page UNION ALL SELECT r.page, min(f.y) FROM r JOIN f ON f.page = r.page AND f.y >= r.y + 20 GROUP BY r.page, r.y)
+SELECT p.page, CAST(count(r.y) AS INTEGER) AS n_cuts, CAST(count(r.y) FILTER (r.y <= 400) AS INTEGER) AS band FROM (SELECT DISTINCT l_orderkey AS page FROM lineitem) p LEFT JOIN r USING (page) GROUP BY p.page""")
 def page_bands(t):
     page = t("lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.collect_list(F.expr("double(l_partkey % 800)")).alias("edges"))
     return page.withColumn("cuts", P.cuts(F.col("edges"), F.lit(800.0))).select("page", F.size("cuts").alias("n_cuts"), P.band(F.lit(400.0), F.col("cuts")).alias("band"))
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, text || chr(10) || (SELECT string_agg(i || ' entry', chr(10) ORDER BY i) FROM range(1, CAST(doc_id % 60 AS INTEGER) + 2) t(i)) AS x FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(regexp_replace(x, '([^0-9])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_(\-:.,/])([0-9]{1,4})(?:[^\p{L}\p{N}_%)\-:.,/~]|$)', 1) AS v FROM d),
+n AS (SELECT doc_id, unnest(v)::INTEGER AS v, generate_subscripts(v, 1) AS j FROM m),
+c AS (SELECT doc_id, j, v, 1 AS k FROM n UNION SELECT b.doc_id, b.j, b.v, a.k + 1 FROM c a JOIN n b ON a.doc_id = b.doc_id AND b.v - a.v BETWEEN 1 AND 4 AND b.j - a.j BETWEEN 1 AND 400)
+SELECT doc_id, CAST(coalesce(max(k), 0) AS INTEGER) AS entries, coalesce(max(k), 0) >= 30 AS numbered FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
 def numbered_books(t):
     text = F.expr("concat_ws('\n', text, array_join(transform(sequence(1, int(doc_id % 60) + 1), i -> concat(i, ' entry')), '\n'))")
     return t("documents").select("doc_id", E.chain_length(text).alias("entries")).withColumn("numbered", F.col("entries") >= E.LEAST)
@@ -323,7 +339,12 @@ def block_paragraphs(t):
     return B.paragraphs(b, ["conv_id"], "turn")
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS page, 'p' || l_partkey AS text, CAST(l_suppkey % 500 AS DOUBLE) AS x0, CAST(l_partkey % 800 AS DOUBLE) AS y0, CAST(l_partkey % 800 + 5 + l_linenumber * 6 AS DOUBLE) AS y1 FROM lineitem),
+o AS (SELECT *, (y0 + y1) / 2 AS cy, y1 - y0 AS h, row_number() OVER (PARTITION BY page ORDER BY y0, x0, y1, text) AS i FROM l),
+r AS (SELECT page, i, 0 AS row_no, cy AS first, h AS total, 1 AS n FROM o WHERE i = 1 UNION ALL
+SELECT page, i, CASE WHEN same THEN row_no ELSE row_no + 1 END, CASE WHEN same THEN first ELSE cy END, CASE WHEN same THEN total + h ELSE h END, CASE WHEN same THEN n + 1 ELSE 1 END
+FROM (SELECT o.page, o.i, o.cy, o.h, r.row_no, r.first, r.total, r.n, abs(o.cy - r.first) < greatest(12, r.total / r.n * 0.5) AS same FROM r JOIN o ON o.page = r.page AND o.i = r.i + 1))
+SELECT page, CAST(row_no AS INTEGER) AS row_no, string_agg(text, ' ' ORDER BY x0, y0, text) AS text, min(y0) AS y0, max(y1) AS y1 FROM r JOIN o USING (page, i) GROUP BY page, row_no""")
 def scan_rows(t):
     line = F.expr("named_struct('text', concat('p', l_partkey), 'x0', double(l_suppkey % 500), 'y0', double(l_partkey % 800), 'x1', double(600), 'y1', double(l_partkey % 800 + 5 + l_linenumber * 6))")
     return t("lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(B.scan_rows(F.collect_list(line)).alias("r")).select("page", F.posexplode("r").alias("row_no", "r")).select("page", "row_no", "r.text", "r.y0", "r.y1")
@@ -361,7 +382,13 @@ def ko_language_split(t):
     return t("documents").select("doc_id", text.alias("text"), n.alias("splits"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT conv_id % 5 AS doc, conv_id * 100 + turn AS page, '아침에 읽는 짧은 글 모음 ' || turn || chr(10) || coalesce(text, '') AS text FROM conversations),
+l AS (SELECT doc, page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls, regexp_replace(text, '[^가-힣A-Za-z]', '', 'g') AS bare FROM p),
+e AS (SELECT doc, page, lower(regexp_replace(unnest(list_transform(ls[1:2] || ls[-2:], lambda x: substr(x, 1, 30)) || list_transform(ls[1:2] || ls[-2:], lambda x: right(x, 30))), '[^가-힣A-Za-z]', '', 'g')) AS s FROM l),
+g AS (SELECT DISTINCT doc, page, substr(s, CAST(i AS INTEGER), 4) AS gram FROM e, LATERAL (SELECT unnest(range(1, greatest(length(s) - 2, 1))) AS i)),
+w AS (SELECT DISTINCT doc, page, substr(lower(bare), CAST(i AS INTEGER), 4) AS gram FROM l, LATERAL (SELECT unnest(range(1, greatest(length(bare) - 2, 1))) AS i)),
+a AS (SELECT doc, gram, count(*) AS n FROM w GROUP BY ALL), b AS (SELECT doc, gram, count(*) AS n FROM g JOIN w USING (doc, page, gram) GROUP BY ALL), c AS (SELECT doc, greatest(5, floor(count(*) * 0.03)) AS need FROM p GROUP BY doc)
+SELECT doc, gram FROM b JOIN a USING (doc, gram) JOIN c USING (doc) WHERE b.n >= need AND b.n >= 0.6 * a.n""")
 def header_grams(t):
     return K.header_grams(t("conversations").selectExpr(*_book)).select("doc", F.explode("grams").alias("gram"))
 
@@ -404,3 +431,86 @@ FROM (SELECT *, lower(substr(text || CASE WHEN turn % 2 = 0 THEN ' Idiom' ELSE '
 def study_material(t):
     c = F.expr("concat(text, if(turn % 2 = 0, ' Idiom', ''), if(conv_id % 3 = 0, ' dialogue', ''))")
     return t("conversations").select("conv_id", "turn", X.study_material(c, F.col("role")).alias("study"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT a.conv_id, a.turn, count(b.turn) AS near FROM p a LEFT JOIN p b ON a.conv_id = b.conv_id AND b.nth <> a.nth AND abs(b.nth - a.nth) <= 3 GROUP BY ALL)
+SELECT conv_id, turn, md5(CASE WHEN near >= 2 THEN 'body of the page' || chr(10) || 'its last words' ELSE 'body of the page' || chr(10) || 'its last words' || chr(10) || (70 + nth) END) AS digest, CAST(CASE WHEN near >= 2 THEN 1 ELSE 0 END AS INTEGER) AS removed FROM n JOIN p USING (conv_id, turn)""")
+def page_numbers_removed(t):
+    """Pages of conversations that end in a number which rises with them."""
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    text = F.concat(F.lit("body of the page\nits last words\n"), (nth + 70).cast("string"))
+    done = numbers.without_page_numbers(t("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), text.alias("text")))
+    return done.select(F.col("doc").alias("conv_id"), F.col("page").alias("turn"), F.md5("text").alias("digest"), "removed")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 800 AS y0, l_partkey % 800 + 12 AS y1, CASE l_suppkey % 4 WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN 'DBR ' || l_partkey WHEN 2 THEN repeat('a line of the page ', 5) ELSE 'Downloaded by ' || l_suppkey END AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, contains(t, 'Downloaded by') OR (y0 < 55 AND length(t) < 80 AND (contains(t, 'DBR') OR regexp_matches(t, '^[0-9]{1,4}$') OR length(t) <= 4)) OR (y1 > 685 AND length(t) < 80 AND (contains(t, 'DBR') OR regexp_matches(t, '^[0-9]{1,4}$'))) AS margin FROM b""")
+def margin_blocks(t):
+    text = F.expr("CASE l_suppkey % 4 WHEN 0 THEN string(l_partkey) WHEN 1 THEN concat('DBR ', l_partkey) WHEN 2 THEN repeat('a line of the page ', 5) ELSE concat('Downloaded by ', l_suppkey) END")
+    y = F.expr("l_partkey % 800")
+    return t("lineitem").select("l_orderkey", "l_linenumber", layout.margin(text, y, y + 12, F.lit(800)).alias("margin"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(trim(regexp_replace(replace(text, '. ', ' [1, 2-3]. '), '\\s*\\[[0-9]+(?:\\s*[-,]\\s*[0-9]+)*\\]', '', 'g')), '[.]+$', '')) AS text FROM documents".replace("\\\\", "\\"))
+def citations_stripped(t):
+    return t("documents").select("doc_id", metadata.strip_cite(F.expr("replace(text, '. ', ' [1, 2-3]. ')")).alias("text"))
+
+
+@query("""SELECT doc_id, 'in/' || source || '/d' || doc_id || '.txt' AS normal, CASE WHEN source = 'src1' THEN 'd' || doc_id || '.txt' ELSE source || '/d' || doc_id || '.txt' END AS relative FROM documents""")
+def paths_normal(t):
+    d = t("documents").select("doc_id", "source", documents.normal_path(F.expr("concat(' \"in\\\\', source, '//./d', doc_id, '.txt\" ')")).alias("normal"))
+    return d.select("doc_id", "normal", documents.relative_path(F.col("normal"), "in/src1").alias("relative"))
+
+
+@query("""SELECT doc, round(avg(m), 6) AS avg_score, CASE WHEN avg(m) IS NULL THEN 'unknown' WHEN round(avg(m), 6) >= 0.85 THEN 'high' WHEN round(avg(m), 6) >= 0.65 THEN 'medium' ELSE 'low' END AS confidence, coalesce(round(avg(m), 6) < 0.7, true) AS review
+FROM (SELECT l_suppkey AS doc, l_linenumber AS page, avg(s) FILTER (s > 0) AS m FROM (SELECT *, CASE WHEN l_suppkey % 10 = 0 THEN 0 ELSE (l_quantity + l_suppkey % 50) / 100 END AS s FROM lineitem) GROUP BY ALL) GROUP BY doc""")
+def scan_confidence(t):
+    return scans.document_confidence(t("lineitem").selectExpr("l_suppkey doc", "l_linenumber page", "if(l_suppkey % 10 = 0, 0, (l_quantity + l_suppkey % 50) / 100) score"))
+
+
+def _fields(f: Callable[[str, str, str], str]) -> str:
+    given = {"title": "'d' || doc_id", "category": "source", "source": "source", "id": "CAST(doc_id AS VARCHAR)", "created": "'2026-01-01'", "tags": "lang", "errors": "source"}
+    return " || chr(10) || ".join(f(k, kind, given.get(k) if k in given else default) for k, kind, default in documents.FIELDS if k in given or default is not None)
+
+
+def _field_sql(key: str, kind: str, x) -> str:
+    if kind in (documents.TAGS, documents.LIST):
+        return f"'{key}: []'" if x == [] else f"'{key}:' || chr(10) || '  - ' || " + (x if kind == documents.TAGS else f"'\"' || {x} || '\"'")
+    literal = x if "||" in str(x) or x in ("source", "lang") or str(x).startswith(("CAST", "'")) else f"'{x}'"
+    return f"'{key}: ' || " + (f"'\"' || {literal} || '\"'" if kind in (documents.TEXT, documents.QUOTED) else literal)
+
+
+@query(f"SELECT doc_id, '---' || chr(10) || {_fields(_field_sql)} || chr(10) || '---' || chr(10) AS front FROM documents")
+def front_matter_fields(t):
+    values = {"title": F.concat(F.lit("d"), F.col("doc_id").cast("string")), "category": F.col("source"), "source": F.col("source"), "id": F.col("doc_id"), "created": F.lit("2026-01-01"), "tags": F.array("lang"), "errors": F.array("source")}
+    return t("documents").select("doc_id", documents.front_matter(values).alias("front"))
+
+
+@query()
+def document_tags(t):
+    d = t("documents").withColumn("category", metadata.category(F.col("text"), F.col("source"), F.col("lang")))
+    return d.select("doc_id", "category", F.array_join(metadata.tags(F.col("text"), F.col("source"), F.col("category")), "|").alias("tags"), metadata.summary(F.col("text")).alias("summary"), metadata.title(F.col("text"), F.col("source")).alias("title"))
+
+
+@query()
+def converted_documents(t):
+    """Documents as files, converted from bytes to the Markdown that is written."""
+    f = t("documents").select(F.concat(F.lit("/in/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"), F.timestamp_seconds(F.col("doc_id")).alias("modificationTime"))
+    return documents.converted(f, "2026-01-01T00:00:00Z", "/in")
+
+
+@query()
+def page_layout(t):
+    """Line items as blocks of pages in two columns, with tables and wide blocks."""
+    b = t("lineitem").selectExpr("l_suppkey AS doc", "l_orderkey AS page", "800.0D AS page_h", "IF(l_linenumber % 5 = 0, 50, IF(l_partkey % 2 = 0, 50, 320)) AS x0", "80.0 + l_linenumber * 40 AS y0", "IF(l_linenumber % 5 = 0, 560, IF(l_partkey % 2 = 0, 280, 550)) AS x1", "100.0 + l_linenumber * 40 AS y1", "concat('block ', l_partkey, ' of a page', IF(l_linenumber % 3 = 0, '.', '')) AS text", "l_linenumber = 7 AS is_table")
+    return layout.page_texts(b)
+
+
+@query()
+def scanned_documents(t):
+    """Turns of conversations as recognised lines of scanned books."""
+    words = F.regexp_extract_all("text", F.lit("(?:[^ \n]+[ \n]?){1,8}"), 0)
+    lines = t("conversations").select((F.col("conv_id") % 5).cast("string").alias("doc"), (F.col("conv_id") * 100 + F.col("turn")).alias("page"), F.posexplode(words).alias("k", "text"), F.lit(0.8).alias("score"))
+    box = {"x0": F.lit(60.0), "y0": F.col("k") * 18 + 120.0, "x1": F.lit(500.0), "y1": F.col("k") * 18 + 132.0, "page_w": F.lit(595.0), "page_h": F.greatest(F.lit(842.0), F.max("k").over(Window.partitionBy("doc", "page")) * 18 + 400.0)}
+    return scans.documents(lines.withColumns(box))

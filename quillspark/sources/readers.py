@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+import csv
+import html
 import html.parser
 import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspark.functions.unicode import decode
 
-#: Suffixes that have a reader, and those that need a desktop application.
-READ = ("txt", "md", "html", "htm", "csv", "json", "xml", "docx", "pptx", "xlsx", "xlsm", "hwpx", "epub")
-UNREADABLE = ("doc", "rtf", "ppt", "xls", "hwp", "pdf", "png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
+#: Suffixes and their kinds; images; those that need a desktop application or a recogniser.
+TYPES = {
+    "docx": "docx", "doc": "doc", "rtf": "rtf", "pptx": "pptx", "ppt": "ppt", "xlsx": "xlsx", "xlsm": "xlsx", "xls": "xls", "hwp": "hwp", "hwpx": "hwpx", "pdf": "pdf",
+    "epub": "epub", "txt": "txt", "md": "md", "markdown": "md", "html": "html", "htm": "html", "csv": "csv", "json": "json", "xml": "xml",
+    "png": "image", "jpg": "image", "jpeg": "image", "bmp": "image", "tiff": "image", "tif": "image", "webp": "image",
+}
+IMAGES = tuple(k for k, v in TYPES.items() if v == "image")
+UNREADABLE = ("doc", "ppt", "xls", "hwp", *IMAGES)
 #: Folders that a scan leaves out.
 PRUNED = ("venv", "__pycache__", ".git", "output_md", "결과_MD", "변환리포트", "node_modules")
+#: Bytes of markup that one archive may unpack to.
+MOST_XML = 1 << 28
+Reader = Callable[[bytes], tuple[str | None, str]]
 SCHEMA = "path string, ext string, status string, encoding string, body string, error string"
 
 
@@ -80,6 +92,16 @@ def sheet(name: str, rows: list[list[str]]) -> str:
     return title + "\n".join("  |  ".join(filter(None, r)) for r in rows)
 
 
+@F.pandas_udf(StringType())
+def _sheet(name: pd.Series, rows: pd.Series) -> pd.Series:
+    return pd.Series([sheet(n or "", [list(r) for r in x if r is not None] if x is not None else []) for n, x in zip(name, rows)], dtype=object)
+
+
+def sheet_text(name: Column, rows: Column) -> Column:
+    """sheet() of an array of rows of cells."""
+    return _sheet(name, rows)
+
+
 def _docx(z: zipfile.ZipFile) -> str:
     body = next(x for x in ElementTree.fromstring(z.read("word/document.xml")) if _local(x.tag) == "body")
 
@@ -209,36 +231,134 @@ def _epub(z: zipfile.ZipFile) -> str:
     return "\n\n---\n\n".join(html_to_markdown(decode(z.read(n))[1]).strip() for n in files)
 
 
-_zipped = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "xlsm": _xlsx, "hwpx": _hwpx, "epub": _epub}
+def _csv(raw: bytes) -> tuple[str, str]:
+    encoding, text = decode(raw)
+    return encoding, _grid([list(r) for r in csv.reader(io.StringIO(text))])
+
+
+def _html(raw: bytes) -> tuple[str, str]:
+    encoding, text = decode(raw)
+    return encoding, html_to_markdown(text)
+
+
+def _rtf(raw: bytes) -> tuple[str, str]:
+    """The text of a rich-text file: paragraphs and tabs; groups that hold no text (fonts, colours, pictures, fields' codes) dropped."""
+    text = raw.decode("latin-1")
+    if not text.lstrip().startswith("{\\rtf"):
+        raise ValueError("not a rich-text file")
+    page = re.search(r"\\ansicpg(\d+)", text)
+    encoding = f"cp{page[1]}" if page else "cp1252"
+    out, pending, depth, hidden, skip = [], bytearray(), 0, 0, 0
+
+    def flush() -> None:
+        out.append(pending.decode(encoding, "replace"))
+        pending.clear()
+
+    for m in re.finditer(r"\\u(-?\d+) ?|\\'([0-9a-fA-F]{2})|\\([a-z]+)(-?\d+)? ?|\\([^a-z])|([{}])|([^\\{}\r\n]+)", text):
+        code, byte, word, _, sign, brace, plain = m.groups()
+        if brace:
+            depth += 1 if brace == "{" else -1
+            hidden = 0 if hidden > depth else hidden
+        elif not hidden and (word in ("fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "fldinst") or sign == "*"):
+            hidden = depth
+        elif hidden:
+            continue
+        elif byte or (plain and skip):
+            if skip:  # what stands for a character that was given by its number
+                skip, plain = 0, (plain or "")[1:]
+                pending.extend(plain.encode("latin-1"))
+            elif byte:
+                pending.append(int(byte, 16))
+        elif plain:
+            pending.extend(plain.encode("latin-1"))
+        else:
+            flush()
+            skip = 1 if code else 0
+            out.append(chr(int(code) % 65536) if code else {"par": "\n", "line": "\n", "tab": "\t", "cell": "\t", "row": "\n"}.get(word, "") if word else sign if sign in "\\{}" else {"~": " "}.get(sign, ""))
+    flush()
+    return encoding, re.sub(r"\n{3,}", "\n\n", "".join(out)).strip() + "\n"
 
 
-def convert(ext: str, raw: bytes | None) -> tuple[str, str | None, str, str | None]:
-    """status, encoding, body, error of one file."""
-    try:
-        if ext in UNREADABLE:
-            return "unsupported_format", None, "", f"no reader for .{ext}"
-        if ext in _zipped:
-            with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
-                encoding, body = None, _zipped[ext](z)
-        elif ext in READ:
-            encoding, body = decode(raw)
-            body = html_to_markdown(body) if ext in ("html", "htm") else body
-        else:
-            return "unsupported_format", None, "", f"no reader for .{ext}"
-        return ("success", encoding, body, None) if body.strip() else ("failed", encoding, "", "empty document")
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration, ValueError) as e:
-        return "corrupted_file", None, "", f"{type(e).__name__}: {e}"
+def _zip(read: Callable[[zipfile.ZipFile], str]) -> Reader:
+    def run(raw: bytes) -> tuple[None, str]:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            if any(x.flag_bits & 1 for x in z.infolist()):
+                raise PermissionError("password needed")
+            if sum(x.file_size for x in z.infolist() if x.filename.endswith((".xml", ".html", ".xhtml", ".opf"))) > MOST_XML:
+                raise ValueError("more text than a file may hold")
+            return None, read(z)
+
+    return run
+
+
+def _any_text(tag: str) -> Callable[[zipfile.ZipFile], str]:
+    """What is left of a damaged file: the text of its tags, without its structure."""
+    def read(z: zipfile.ZipFile) -> str:
+        parts = [z.read(n).decode("utf-8", "replace") for n in sorted(z.namelist(), key=_natural) if n.endswith(".xml")]
+        return "\n\n".join(html.unescape("".join(re.findall(rf"<(?:\w+:)?{tag}(?: [^>]*)?>([^<]*)<", p))) for p in parts).strip()
+
+    return read
+
+
+def _pdf(raw: bytes) -> tuple[None, str]:
+    from quillspark.sources import pdf
+
+    return None, pdf.text(raw)
+
+
+#: Readers of a suffix, in the order in which they are tried: a later one takes what an earlier one can't read.
+READERS: dict[str, list[Reader]] = {
+    **{k: [decode] for k in ("txt", "md", "markdown", "json", "xml")}, **{k: [_html] for k in ("html", "htm")}, "csv": [_csv, decode], "rtf": [_rtf], "pdf": [_pdf],
+    "docx": [_zip(_docx), _zip(_any_text("t"))], "pptx": [_zip(_pptx), _zip(_any_text("t"))], **{k: [_zip(_xlsx)] for k in ("xlsx", "xlsm")}, "hwpx": [_zip(_hwpx), _zip(_any_text("t"))], "epub": [_zip(_epub)],
+}
+
+
+def register(suffix: str, reader: Reader, first: bool = True) -> None:
+    """Adds a reader of bytes (encoding or None, text) for a suffix, before or after those that there are.
+
+    Readers go to executors with the functions that use them, so register before a query is made.
+    """
+    READERS.setdefault(suffix, []).insert(0 if first else len(READERS.get(suffix, [])), reader)
+
+
+def readable(suffix: str) -> bool:
+    return bool(READERS.get(suffix))
+
+
+def availability(spark: SparkSession) -> DataFrame:
+    """suffix, kind, readable, reason: which formats can be read, and why others can't."""
+    kinds = {**TYPES, **{k: TYPES.get(k, k) for k in READERS}}
+    reason = lambda k: None if readable(k) else "needs a recogniser: see operators.scans" if k in IMAGES else "needs the application that wrote it"
+    return spark.createDataFrame([(k, v, readable(k), reason(k)) for k, v in kinds.items()], "suffix string, kind string, readable boolean, reason string")
+
+
+def convert(ext: str, raw: bytes | None, chain: list[Reader] | None = None) -> tuple[str, str | None, str, str | None]:
+    """status, encoding, body, error of one file. Whatever a file does to a reader, it costs that file only."""
+    status, encoding, error = "unsupported_format", None, f"no reader for .{ext}"
+    for reader in READERS.get(ext, []) if chain is None else chain:
+        try:
+            encoding, body = reader(raw or b"")
+        except PermissionError as e:
+            return "password_protected", None, "", str(e)
+        except Exception as e:  # noqa: BLE001
+            status, error = "corrupted_file", f"{type(e).__name__}: {e}"
+            continue
+        if body.strip():
+            return "success", encoding, body, None
+        status, error = "failed", "empty document"
+    return status, encoding, "", error
 
 
 def parse(files: DataFrame) -> DataFrame:
     """files: path, content. A row per file; one that can't be read keeps its row, with a status and an error."""
-    files = files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), "content")
+    files, chains = files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), "content"), dict(READERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                ext = b["ext"][i].as_py() or ""
-                yield pa.RecordBatch.from_pylist([dict(zip(("path", "ext", "status", "encoding", "body", "error"), (b["path"][i].as_py(), ext, *convert(ext, b["content"][i].as_py()))))], pa.schema([(c, pa.string()) for c in ("path", "ext", "status", "encoding", "body", "error")]))
+            exts = [x or "" for x in b["ext"].to_pylist()]
+            done = [convert(ext, None if raw is None else raw.as_py(), chains.get(ext, [])) for ext, raw in zip(exts, b["content"])]
+            cols = list(zip(*done)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b["path"], *(pa.array(c, pa.string()) for c in (exts, *cols))], ["path", "ext", "status", "encoding", "body", "error"])
 
     return files.mapInArrow(run, SCHEMA)
 
@@ -248,4 +368,10 @@ def scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     inside = "/(?:" + "|".join(re.escape(p) for p in PRUNED) + ")/"
-    return files.where(ext.isin(*READ, *UNREADABLE) & ~F.col("path").rlike(inside)).dropDuplicates(["path"])
+    return files.where(ext.isin(*TYPES, *READERS) & ~F.col("path").rlike(inside)).dropDuplicates(["path"])
+
+
+def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """The files of scan() without their content, by suffix and name."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return scan(spark, path, recursive).select("path", "modificationTime", "length").orderBy(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)), F.lower(name), "path")
