@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -248,11 +247,14 @@ def score(docs: DataFrame) -> DataFrame:
     # adjacent classes and words of each class, after each sweep
     steps, kinds = [one.T @ table @ one], [np.bincount(label, types, CLASSES)]
     shared = work.put(seen.select("block", "name").join(counts.where((F.col("blocks") > 1) & (F.col("c") > 0) & (F.col("name") != end)).select("name", "c"), "name"))
+    work.drop(seen, counts)
+    release(spark)
     lists = shared.withColumn("past", F.lit(b""))
     by_block = docs.groupBy("block")
 
     def walk(t: pa.Table, words: pa.Table) -> pa.Table:
-        none = pa.table({"bucket": pa.array([], pa.int32()), "name": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "past": pa.array([], pa.binary()), "cells": pa.array([], pa.binary())})
+        binary = ("names", "past", "sizes", "cells")
+        none = pa.table({"bucket": pa.array([], pa.int32()), "name": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in binary}})
         if not t.num_rows:
             return none
         b, done = Tokens(t, core, label, words), len(steps) - 1 + ahead
@@ -260,39 +262,48 @@ def score(docs: DataFrame) -> DataFrame:
             b.sweep(k, steps[k])
         sums = b.adjacent()
         at = np.flatnonzero(sums)
-        out = pa.table({"bucket": pa.array(np.full(len(at), -1, np.int32)), "name": pa.array(at), "n": pa.array(sums[at]), "past": pa.nulls(len(at), pa.binary()), "cells": pa.nulls(len(at), pa.binary())})
+        out = pa.table({"bucket": pa.array(np.full(len(at), -1, np.int32)), "name": pa.array(at), "n": pa.array(sums[at]), **{c: pa.nulls(len(at), pa.binary()) for c in binary}})
         if done == OWN or not words.num_rows:
             return out
         of = np.zeros(len(b.listed), bool)
         of[b.at] = True
         word, cell = b.cells(of)
         code, n = np.unique(word.astype(np.int64) * CELLS + cell, return_counts=True)
-        word, first = np.unique(code // CELLS, return_index=True)
         data = np.empty(len(code), CELL)
         data["cell"], data["n"] = code % CELLS, n
-        ends = np.concatenate((first, [len(code)])).astype(np.int32) * CELL.itemsize
-        cells = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
-        names = b.listed[word]
-        past = pa.array([b.label[w].astype(np.uint8).tobytes() for w in word], pa.binary()) if not done else None
-        row = np.empty(len(b.listed), np.int64)
-        row[b.at] = np.arange(len(b.at))
-        past = past or words["past"].combine_chunks().take(pa.array(row[word]))
-        bucket = (names % np.uint64(blocks)).astype(np.int32)
-        return pa.concat_tables([out, pa.table({"bucket": pa.array(bucket), "name": pa.array(names.view(np.int64)), "n": pa.array(np.zeros(len(word), np.int64)), "past": past, "cells": cells})])
+        word, first, size = np.unique(code // CELLS, return_index=True, return_counts=True)
+        # a row for each bucket: its words' names, what they were before, how many cells each has, and the cells
+        bucket = (b.listed[word] % np.uint64(blocks)).astype(np.int32)
+        if done:
+            row = np.empty(len(b.listed), np.int64)
+            row[b.at] = np.arange(len(b.at))
+            past = b.past[row[word]]
+        else:
+            past = b.label[word].astype(np.uint8)[:, None]
+        rows = []
+        for part in np.split(order := np.argsort(bucket, kind="stable"), np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(part):
+                inside = np.repeat(first[part], size[part]) + np.arange(size[part].sum()) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+                rows.append((int(bucket[part[0]]), b.listed[word[part]].tobytes(), past[part].tobytes(), size[part].astype("<u2").tobytes(), data[inside].tobytes()))
+        cols = list(zip(*rows)) or [()] * 5
+        nulls = {"name": pa.nulls(len(rows), pa.int64()), "n": pa.nulls(len(rows), pa.int64())}
+        packed = pa.table({"bucket": pa.array(cols[0], pa.int32()), **nulls, **{c: pa.array(v, pa.binary()) for c, v in zip(("names", "past", "sizes", "cells"), cols[1:])}})
+        return pa.concat_tables([out, packed])
 
     def move(t: pa.Table) -> pa.Table:
-        name, one, back = np.unique(t["name"].to_numpy(), return_index=True, return_inverse=True)
-        data = np.frombuffer(b"".join(t["cells"].to_pylist()), CELL)
-        word = np.repeat(back, pc.binary_length(t["cells"]).to_numpy() // CELL.itemsize)
+        names, sizes, cells = (b"".join(t[c].to_pylist()) for c in ("names", "sizes", "cells"))
+        name, one, back = np.unique(np.frombuffer(names, np.uint64), return_index=True, return_inverse=True)
+        word, data = np.repeat(back, np.frombuffer(sizes, "<u2")), np.frombuffer(cells, CELL)
         order = np.argsort(word, kind="stable")
-        past = [x or b"" for x in t["past"].combine_chunks().take(pa.array(one)).to_pylist()]
-        new = better(word[order], data["cell"][order].astype(np.int64), data["n"][order], np.array([x[-1] for x in past], np.int64), steps[-1])
-        kept = past if len(steps) > 1 else [b""] * len(past)  # before the first sweep it is the seed's class
-        return pa.table({"name": pa.array(name), "past": pa.array([x + bytes([y]) for x, y in zip(kept, new.tolist())], pa.binary())})
+        past = np.frombuffer(b"".join(t["past"].to_pylist()), np.uint8).reshape(len(back), -1)[one]
+        new = better(word[order], data["cell"][order].astype(np.int64), data["n"][order], past[:, -1].astype(np.int64), steps[-1])
+        kept = past if len(steps) > 1 else past[:, :0]  # before the first sweep it is the seed's class
+        both = np.concatenate((kept, new.astype(np.uint8)[:, None]), 1)
+        return pa.table({"name": pa.array(name.view(np.int64)), "past": pa.array([x.tobytes() for x in both], pa.binary())})
 
     for k in range(OWN + 1):
         ahead = int(k > 0)  # the sweep whose adjacent classes are not known yet
-        seen_of = by_block.cogroup(lists.groupBy("block")).applyInArrow(walk, "bucket int, name long, n long, past binary, cells binary")
+        seen_of = by_block.cogroup(lists.groupBy("block")).applyInArrow(walk, "bucket int, name long, n long, names binary, past binary, sizes binary, cells binary")
         if k:  # the first sweep's adjacent classes are known, so its cells needn't be written
             seen_of = work.put(seen_of)
             sums = np.zeros(CLASSES**2 + CLASSES)
@@ -305,7 +316,8 @@ def score(docs: DataFrame) -> DataFrame:
             kinds.append(sums[CLASSES**2 :])
         if k < OWN:
             classes = work.put(seen_of.where("bucket >= 0").groupBy("bucket").applyInArrow(move, "name long, past binary"))
-            lists = shared.join(classes, "name")
+            lists = work.put(shared.join(classes, "name"))
+            work.drop(shared)
         if k:
             work.drop(seen_of)
         release(spark)
