@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: quality, near duplicates, repeated passages, the mix, packing.
 
 Every row is a document of its own, whatever its doc_id: stages tell rows apart by a key, which is the doc_id where no other
-row has it. Rows that are equal in all columns share a key; near_duplicate_stage keeps one of them.
+row has it. Rows that are equal in all columns share a key; near_duplicate_stage keeps one of them. Every stage takes the
+columns of documents and passes others over, so names that clash with its own don't matter; no rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -37,26 +38,35 @@ def _kept(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels that there are, doesn't reject. A label is that of the row whose key is its doc_id."""
+    """Documents that the classifier, fitted on the labels that there are, doesn't reject. A label is that of the row whose key is its doc_id.
+
+    Null or empty text: the fitted base rate decides. Null source or lang: a site of its own. Without labels all stay.
+    """
     rows = keyed(docs)
     return _kept(rows, quality(_named(rows), spark.read.parquet(f"{sf_dir}/labels.parquet"))).select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest key of each group (of five-word shingles, similarity 0.8); of equal rows, one."""
+    """The document of the smallest key of each group (of five-word shingles, similarity 0.8); of equal rows, one.
+
+    Texts without words are like nothing and stay.
+    """
     rows = keyed(docs)
     return _kept(rows, near_duplicates(_named(rows), percent=80, shingle=5)).dropDuplicates(["key"]).select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages cut out; a document of which nothing is left goes."""
+    """Repeated passages cut out, at the document of the smallest key none; a document of which nothing is left goes.
+
+    Texts that had no words stay as they are, nulls too. n_chars is counted anew where a text was cut.
+    """
     out = without_repeats(_named(keyed(docs).withColumn("id", F.col("doc_id")))).withColumn("doc_id", F.col("id"))
     some = out.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return some.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one that the mix leaves out goes."""
+    """Each document as often as the mix takes it; one that the mix leaves out goes, as do texts without words. Null source: the last source."""
     rows = keyed(docs)
     taken = mix(_named(rows)).where("taken > 0").groupBy(F.col("doc_id").alias("key")).agg(F.max(F.expr("int(taken div size)")).alias("mix_times"))
     out = rows.join(taken.hint("shuffle_hash"), "key")
@@ -64,6 +74,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of the sequences. Null or empty text: a piece that holds the end token alone. Equal rows are packed each."""
     return pack(docs)
 
 
