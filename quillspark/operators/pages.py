@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspark.functions.korean import BOUND, PAIRS
 from quillspark.functions.text import BLOCK_START, strip
@@ -52,24 +56,44 @@ def joined_pages(pages: DataFrame) -> DataFrame:
     return all_of.select("doc", F.regexp_replace(F.array_join(F.col("all.piece"), ""), r"(?: |\n\n)\z", "").alias("body"))
 
 
+_block, _closed = re.compile(BLOCK_START.removeprefix("(?U)")).match, re.compile(r"(?:[.!?…:;]|[.!?][\"'])$").search
+_pairs = frozenset((x, y) for x, y, _ in PAIRS)
+
+
+def seam(last: str, first: str) -> str:
+    """What stands between two pages whose text meets in two lines: nothing where a word is cut, a space where a sentence is."""
+    goes_on = re.search("[가-힣,]$", last) and (re.match("[가-힣]", first) or first[:1].islower())
+    if not goes_on or _block(last) or _block(first) or _closed(last):
+        return "\n\n"
+    a, b = last.split()[-1], first.split()[0]
+    return "" if b in BOUND or (a, b) in _pairs or max(len(a), len(b)) <= 2 else " "
+
+
+@F.pandas_udf(StringType())
+def _rejoined(pages: pd.Series) -> pd.Series:
+    def one(texts) -> str:
+        out: list[str] = []
+        last = ""  # the last line of the text so far, whichever pages it came from
+        for text in texts:
+            lines = [x.strip() for x in text.splitlines() if x.strip()]
+            gap = seam(last, lines[0]) if out else ""
+            out += [gap, text]
+            last = lines[-1] if len(lines) > 1 or gap == "\n\n" else last + gap + lines[0]
+        return "".join(out)
+
+    return pages.map(one)
+
+
 def rejoined_pages(pages: DataFrame) -> DataFrame:
     """doc, body: the pages (doc, page, text) in order, with a sentence that a page end cuts made whole.
 
     It goes on without a space if the page end cuts a word (a bound fragment, a pair often split, or two short words),
-    else with one; other pages are paragraphs apart. The word before is sought on its own page. Pages without text go.
+    else with one; other pages are paragraphs apart. The word before is sought in the text joined so far. Pages without
+    text go. A document's pages meet in one task.
     """
     bare = pages.select("doc", "page", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
-    before = F.lag("text").over(Window.partitionBy("doc").orderBy("page", "text"))
-    last, first = strip(F.regexp_extract(before, r"[^\r\n]+\z", 0)), strip(F.regexp_extract(F.col("text"), r"\A[^\r\n]+", 0))
-    a, b = F.regexp_extract(last, r"(?U)\S+\z", 0), F.regexp_extract(first, r"(?U)\A\S+", 0)
-    apart = last.rlike(BLOCK_START) | first.rlike(BLOCK_START) | last.rlike(r"(?:[.!?…:;]|[.!?][\"'])\z")
-    goes_on = ~apart & last.rlike(r"[가-힣,]\z") & first.rlike(r"(?U)\A[가-힣\p{Lower}]")
-    pairs = F.array(*[F.lit(f"{x} {y}") for x, y, _ in PAIRS])
-    cut = b.isin(*sorted(BOUND)) | F.array_contains(pairs, F.concat_ws(" ", a, b)) | ((F.length(a) <= 2) & (F.length(b) <= 2))
-    gap = F.when(before.isNull() | (goes_on & cut), "").when(goes_on, " ").otherwise("\n\n")
-    piece = bare.withColumn("piece", F.concat(gap, "text"))
-    all_of = piece.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "text", "piece"))).alias("all"))
-    return all_of.select("doc", F.array_join(F.col("all.piece"), "").alias("body"))
+    all_of = bare.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("all"))
+    return all_of.select("doc", _rejoined("all.text").alias("body"))
 
 
 def edge_lines(pages: DataFrame, n: int = 2) -> DataFrame:

@@ -91,8 +91,9 @@ def page_texts(lines: DataFrame) -> DataFrame:
 
 def book_pages(pages: DataFrame) -> DataFrame:
     """The rules that need a whole book, on its pages: page numbers, front and back matter, headers, groups of quotes."""
-    p = numbers.without_page_numbers(pages).select("doc", "page", "text")
-    p = books.without_headers(p)
+    # each rule looks at a book's pages more than once, so what it starts from is kept
+    p = numbers.without_page_numbers(pages.persist()).select("doc", "page", "text").persist()
+    p = books.without_headers(p).persist()
     return books.grouped_quotes(books.book_matter(p).select("doc", "page", "text")).drop("groups")
 
 
