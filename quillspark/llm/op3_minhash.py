@@ -252,7 +252,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     wanted = first.join(some.select(F.col("doc").alias("node")).hint("shuffle_hash"), "node", "left_semi").withColumnRenamed("node", "doc")
     sets = work.put(texts.join(wanted.hint("shuffle_hash"), "low").mapInArrow(gather, "doc long, set array<long>").where("size(set) > 0").dropDuplicates(["doc"]))
     sketches = work.put(regs.join(some, "doc", "left_semi"))
-    comp, edges, step, before = some.withColumn("comp", F.col("doc")), ties, 0, 0
+    comp, step, before = some.withColumn("comp", F.col("doc")), 0, 0
+
+    def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+        """comp after more links: only links between components, which are few after the first round, are contracted."""
+        ends = [comp.select(F.col("doc").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b")]
+        e = edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        more = components(e.where("a <> b"), work).toDF("comp", "c")
+        return work.put(comp.join(more, "comp", "left").select("doc", "company", F.coalesce("c", "comp").alias("comp")))
+
     while True:
         at = work.put(buckets.drop("n").join(comp, "doc"))
         order = F.struct(-F.col("company") if not step else F.xxhash64("doc", F.lit(step)), "doc", "comp")
@@ -264,13 +272,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         before, step = large, step + 1
         pairs = at.join(divided.hint("merge"), "key").where("comp <> hub_comp")
         pairs = work.put(pairs.selectExpr("least(doc, hub) a", "greatest(doc, hub) b").distinct())
-        edges = edges.unionByName(work.put(verified(likely(pairs, sketches, percent), sets, percent)))
-        comp = work.put(some.join(components(edges, work).toDF("doc", "c"), "doc", "left").select("doc", "company", F.coalesce("c", "doc").alias("comp")))
+        comp = merged(comp, work.put(verified(likely(pairs, sketches, percent), sets, percent)))
         work.drop(at)
         release(spark)
     rows = work.put(at.join(divided.select("key").hint("merge"), "key", "left_semi").select("key", "doc", "comp"))
-    edges = edges.unionByName(work.put(_tiles(rows, sets, percent)))
-    comp = components(edges, work).toDF("node", "comp")
+    comp = merged(comp, work.put(_tiles(rows, sets, percent))).select(F.col("doc").alias("node"), "comp")
+    if not ties.isEmpty():  # ids with several texts: their nodes, whether in a bucket or not
+        ends = [comp.toDF(c, f"c{c}") for c in ("a", "b")]
+        e = ties.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        more = components(e, work).toDF("old", "new")
+        nodes = first.select("node").distinct().join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        comp = nodes.join(more, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
     out = member.join(comp, "node", "left").withColumn("component_id", F.coalesce("comp", "node", "doc_id"))
     return few(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
