@@ -165,7 +165,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{work.at}/archive")
     release(spark)
-    full = reconstruct(work.put(read(spark, f"{work.at}/archive")))
+    full = reconstruct(read(spark, f"{work.at}/archive"))  # headers and payloads are each parsed from the files: no table beside them
     # what is reported of a payload is taken from the bytes that the join gave back
     rows = full.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
     return few(base32(rows, "payload_digest"))
