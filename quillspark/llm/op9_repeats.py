@@ -7,7 +7,7 @@ carries the words that decide it: where these lie within a window of 13 words, t
 same symbol. A window is represented by the first such symbol of the highest round that it has (of round three or two,
 with the words beside it); a window without one, which is one in fifteen, by its own name. Equal windows are
 represented alike, so symbols that occur in two documents reveal all repeats. Only windows that a shared symbol represents
-are named in full (two independent hashes of 64 bits of its words), and the smallest document of each verifies the repeat.
+are named in full (two independent hashes, 112 bits, of its words), and the smallest document of each verifies the repeat.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as K
-from quillspark.llm.store import Work, few, release, tune
+from quillspark.llm.store import Work, few, release, tune, with_first
 
 #: Words of a window; rounds of which symbols represent windows, the highest first.
 WINDOW, ROUNDS = 13, (3, 2)
@@ -117,10 +117,10 @@ def symbols(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent names of 64 bits of each window, and the windows' places."""
+    """Two independent names, of 64 and of 48 bits, of each window, and the windows' places."""
     name, places = K.grams(h, at, WINDOW)
     other, _ = K.grams(K.mix(h ^ _b), at, WINDOW)
-    return name, other, places
+    return name, other >> np.uint64(16), places
 
 
 def _salted(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -200,27 +200,24 @@ def _candidates(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, work: Work) -> DataFrame:
     """One row per doc_id with something to remove: doc, whole (everything goes), names and checks of repeated windows.
 
-    What a document has of symbols and windows is listed with it, which is less than its text. Groups combine before they
-    are shuffled, and joins by symbol and by window are ones that Spark splits where a key has very many rows.
+    What a document has of symbols and windows is listed with it, which is less than its text.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
     base = work.put(_whole(docs).where(f"n_words >= {WINDOW}"))
-    firsts = base.groupBy("d1", "d2").agg(F.min("doc").alias("first"))
     # of rows that share an id, all must be copies for the id to count as one
-    first = work.put(base.join(firsts, ["d1", "d2"]).groupBy("doc").agg(F.min(F.col("first") < F.col("doc")).alias("copy")))
+    copies = with_first(base.select("d1", "d2", "doc"), ["d1", "d2"], work).where("first < doc").groupBy("doc").agg(F.count("*").alias("k"))
+    first = work.put(base.groupBy("doc").agg(F.count("*").alias("n")).join(copies, "doc", "left").select("doc", F.coalesce(F.col("k") == F.col("n"), F.lit(False)).alias("copy")))
     # a text that repeats an earlier one whole needs no windows; its first stands for it
     syms = work.put(_symbols(docs))
-    shared = syms.groupBy("sym").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("sym")
-    lists = syms.join(shared.hint("merge"), "sym").join(first.where("not copy").select("doc").hint("shuffle_hash"), "doc").groupBy("doc").agg(F.collect_list("sym").alias("syms"))
-    lists = work.put(lists)
+    shared = with_first(syms, ["sym"], work).select("sym", "doc")
+    lists = work.put(shared.join(first.where("not copy").select("doc").hint("shuffle_hash"), "doc", "left_semi").groupBy("doc").agg(F.collect_list("sym").alias("syms")))
     work.drop(base, syms)
     release(spark)
     found = work.put(_candidates(docs.join(lists.hint("shuffle_hash"), "doc")))
     work.drop(lists)
     release(spark)
-    low = found.groupBy("name", "check").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("name", "check", "x")
-    late = found.join(low.hint("merge"), ["name", "check"]).where("doc > x").groupBy("doc").agg(F.collect_list(F.struct("name", "check")).alias("w"))
+    late = with_first(found, ["name", "check"], work).where("doc > first").groupBy("doc").agg(F.collect_list(F.struct("name", "check")).alias("w"))
     out = first.where("copy").join(late, "doc", "full").select("doc", F.coalesce("copy", F.lit(False)).alias("whole"), F.col("w.name").alias("names"), F.col("w.check").alias("checks"))
     out = work.put(out)
     work.drop(found, first)
