@@ -6,7 +6,9 @@ Readings are rows (doc, line, reading); texts are rows (doc, text) and any other
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections import defaultdict
+from difflib import Match, SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,18 +23,75 @@ SHIFTED = re.compile("[A-Za-z0-9]")
 LEAST_AGREEMENT, LEAST_TRUSTED, LENGTHS = 0.5, 4, (0.5, 2)
 
 
+class Matched(SequenceMatcher):
+    """difflib's matching blocks, found by grams instead of by single characters, with the same choice among equally long ones.
+
+    A stretch of n characters is a run of n - k + 1 common grams of k, so the longest run of the longest grams that two
+    stretches share is the longest match; most characters share no long gram and are passed over.
+    """
+
+    WIDTHS = (16, 8, 4, 2, 1)
+
+    def __init__(self, line: str, reading: str):
+        self._grams = {}
+        super().__init__(None, line, reading, autojunk=False)
+
+    def _hits(self, k: int) -> tuple[list[int], list[list[int]]]:
+        """Places of grams of k in the line that the reading has too, and where it has them."""
+        if k not in self._grams:
+            at = defaultdict(list)
+            for j in range(len(self.b) - k + 1):
+                at[self.b[j : j + k]].append(j)
+            found = [(i, at[g]) for i in range(len(self.a) - k + 1) if (g := self.a[i : i + k]) in at]
+            self._grams[k] = [i for i, _ in found], [js for _, js in found]
+        return self._grams[k]
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> Match:
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        short = min(ahi - alo, bhi - blo)
+        if short == 1:
+            i, j = (alo, self.b.find(self.a[alo], blo, bhi)) if ahi - alo == 1 else (self.a.find(self.b[blo], alo, ahi), blo)
+            return Match(alo, blo, 0) if min(i, j) < 0 else Match(i, j, 1)
+        for k in self.WIDTHS:
+            if k > short:
+                continue
+            places, lists = self._hits(k)
+            best, best_i, best_j, last, before = 0, alo, blo, -2, {}
+            for p in range(bisect_left(places, alo), len(places)):
+                i, js = places[p], lists[p]
+                if i > ahi - k:
+                    break
+                old, before = before if last == i - 1 else {}, {}
+                last = i
+                for q in range(bisect_left(js, blo), len(js)):
+                    j = js[q]
+                    if j > bhi - k:
+                        break
+                    n = before[j] = old.get(j - 1, 0) + 1
+                    if n > best:
+                        best, best_i, best_j = n, i - n + 1, j - n + 1
+            if best:
+                return Match(best_i, best_j, best + k - 1)
+        return Match(alo, blo, 0)
+
+
 def _trusted(s: str) -> int:
     return len("".join(SHIFTED.sub("", FOREIGN.sub("", s)).split()))
 
 
-def merged(line: str, reading: str) -> tuple[str, bool]:
+def _agreeing(line: str, match: SequenceMatcher) -> int:
+    return sum(_trusted(line[a : a + n]) for a, _, n in match.get_matching_blocks())
+
+
+def merged(line: str, reading: str, match: SequenceMatcher | None = None) -> tuple[str, bool]:
     """The line with its broken stretches from the reading, if the reading agrees with what is sound; else without its broken characters."""
-    match = SequenceMatcher(None, line, reading, autojunk=False)
+    match = match or Matched(line, reading)
     solid, again = len("".join(line.split())), len("".join(reading.split()))
-    if _trusted(line) < LEAST_TRUSTED:
+    sound = _trusted(line)
+    if sound < LEAST_TRUSTED:
         agrees = bool(reading) and (not solid or LENGTHS[0] * solid <= again <= LENGTHS[1] * solid)
     else:
-        agrees = sum(_trusted(line[a : a + n]) for a, _, n in match.get_matching_blocks()) >= LEAST_AGREEMENT * _trusted(line)
+        agrees = _agreeing(line, match) >= LEAST_AGREEMENT * sound
     if not agrees:
         return FOREIGN.sub("", line), False
     out = []
@@ -46,7 +105,16 @@ def merged(line: str, reading: str) -> tuple[str, bool]:
     return "".join(out), True
 
 
-@F.pandas_udf(StructType().add("fixed", StringType()).add("trusted", BooleanType()))
+def agreement(line: str, reading: str, match: SequenceMatcher | None = None) -> float:
+    """Share of what is sound in the line that the reading has too; 0 where nothing is sound."""
+    sound = _trusted(line)
+    return _agreeing(line, match or Matched(line, reading)) / sound if sound else 0.0
+
+
+_MERGED = StructType().add("fixed", StringType()).add("trusted", BooleanType())
+
+
+@F.pandas_udf(_MERGED)
 def _merge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([merged(x, y) for x, y in zip(a, b)], columns=["fixed", "trusted"])
 
@@ -56,26 +124,19 @@ def merge(line: Column, reading: Column) -> Column:
     return _merge(F.coalesce(line, F.lit("")), F.coalesce(reading, F.lit("")))
 
 
-def agreement(line: str, reading: str) -> float:
-    """Share of what is sound in the line that the reading has too; 0 where nothing is sound."""
-    sound = _trusted(line)
-    if not sound:
-        return 0.0
-    match = SequenceMatcher(None, line, reading, autojunk=False)
-    return sum(_trusted(line[a : a + n]) for a, _, n in match.get_matching_blocks()) / sound
-
-
-@F.pandas_udf(DoubleType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([agreement(x, y) for x, y in zip(a, b)], dtype=float)
+@F.pandas_udf(StructType().add("share", DoubleType()).add("fixed", StringType()).add("trusted", BooleanType()))
+def _compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    pairs = [(x, y, Matched(x, y)) for x, y in zip(a, b)]
+    return pd.DataFrame([(agreement(*p), *merged(*p)) for p in pairs], columns=["share", "fixed", "trusted"])
 
 
 def fixes(readings: DataFrame) -> DataFrame:
     """doc, line, fixed, trusted: one row per stripped line. Of several readings that which agrees best counts, then the longest, then the largest."""
     bare = readings.select("doc", strip(F.coalesce("line", F.lit(""))).alias("line"), strip(F.coalesce("reading", F.lit(""))).alias("reading")).where("line <> ''")
-    each = bare.withColumn("best", F.struct(_agreement("line", "reading").alias("share"), F.length("reading").alias("n"), F.col("reading")))
-    one = each.groupBy("doc", "line").agg(F.max("best").alias("best")).select("doc", "line", "best.reading")
-    return one.withColumn("m", merge(F.col("line"), F.col("reading"))).select("doc", "line", strip(F.col("m.fixed")).alias("fixed"), "m.trusted")
+    each = bare.distinct().withColumn("m", _compared("line", "reading"))
+    best = F.struct("m.share", F.length("reading").alias("n"), "reading", "m.fixed", "m.trusted")
+    one = each.withColumn("best", best).groupBy("doc", "line").agg(F.max("best").alias("best"))
+    return one.select("doc", "line", strip(F.col("best.fixed")).alias("fixed"), "best.trusted")
 
 
 def repaired(texts: DataFrame, found: DataFrame) -> DataFrame:
