@@ -17,6 +17,7 @@ from quillspark.functions import text as X
 from quillspark.functions.unicode import nfkc
 from quillspark.operators import blocks as B
 from quillspark.operators import books, corpus, numbers
+from quillspark.session import settled
 
 # Share of the page that its top and foot take; running titles beside a page number.
 HEAD, FOOT = 0.12, 0.90
@@ -62,7 +63,9 @@ def page_rows(lines: DataFrame) -> DataFrame:
     line = F.struct("text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     rows = lines.groupBy("doc", "page").agg(B.scan_rows(F.collect_list(line)).alias("r")).select("doc", "page", F.posexplode("r").alias("at", "r"))
     rows = rows.select("doc", "page", "at", "r.y0", "r.y1", "r.h", noise.clean_page(F.col("r.text")).alias("text"))
-    return rows.withColumn("text", X.strip(F.col("text"))).where("text <> ''")
+    # a filter on the text itself would have it cleaned twice
+    solid = F.filter(F.array(X.strip(F.col("text"))), lambda x: x != "")
+    return rows.select("doc", "page", "at", "y0", "y1", "h", F.explode(solid).alias("text"))
 
 
 def page_paragraphs(rows: DataFrame) -> DataFrame:
@@ -91,9 +94,9 @@ def page_texts(lines: DataFrame) -> DataFrame:
 
 def book_pages(pages: DataFrame) -> DataFrame:
     """The rules that need a whole book, on its pages: page numbers, front and back matter, headers, groups of quotes."""
-    # each rule looks at a book's pages more than once, so what it starts from is kept
-    p = numbers.without_page_numbers(pages.persist()).select("doc", "page", "text").persist()
-    p = books.without_headers(p).persist()
+    # each rule looks at a book's pages more than once, so what it starts from is computed first
+    p = settled(numbers.without_page_numbers(settled(pages)).select("doc", "page", "text"))
+    p = settled(books.without_headers(p))
     return books.grouped_quotes(books.book_matter(p).select("doc", "page", "text")).drop("groups")
 
 

@@ -1,4 +1,4 @@
-"""Sending this package to executors that don't have it on their path."""
+"""Sending this package to executors that don't have it on their path; long chains cut into plans of bounded size."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -22,3 +22,12 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(path))
     spark.sparkContext._quillspark = True
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, computed once, as a plan that starts at them.
+
+    A plan is a tree, so each rule that looks at its input several times multiplies what stands before it, and persist() keeps
+    that tree. Rows go to the checkpoint folder if there is one, else they stay with the executors.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()

@@ -167,3 +167,16 @@ def test_rows_that_share_a_key_stay_apart(spark):
 @pytest.mark.parametrize("path, want", [(' "C:\\\\in\\\\a.txt" ', "C:/in/a.txt"), ("/in//sub/./b.md/", "/in/sub/b.md"), ("가/나", "가/나"), (None, "")])
 def test_paths(spark, path, want):
     assert spark.createDataFrame([(path,)], "p string").select(documents.normal_path(F.col("p"))).first()[0] == want
+
+
+def test_rules_of_whole_books_start_from_rows_and_not_from_one_anothers_plans(spark):
+    pages = spark.createDataFrame([("a", i, f"{i + 70}\nOne line of the page {i} that ends.") for i in range(4)], "doc string, page int, text string")
+    out = scans.book_pages(pages)
+    assert out._jdf.queryExecution().analyzed().collectLeaves().size() <= 2
+    assert [r.text for r in out.orderBy("page").collect()] == [f"One line of the page {i} that ends." for i in range(4)]
+
+
+def test_rows_of_a_page_are_cleaned_once(spark):
+    rows = scans.page_rows(spark.createDataFrame([("a", 1, "Some words of a line", 0.9, 60.0, 120.0, 500.0, 132.0, 595.0, 842.0), ("a", 1, "|", 0.9, 60.0, 180.0, 70.0, 192.0, 595.0, 842.0)], scans.LINES))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+    assert [r.text for r in rows.collect()] == ["Some words of a line"]
