@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import posixpath
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from quillspark.functions import metadata as M
 from quillspark.functions import text as X
 from quillspark.operators import corpus as O
 from quillspark.operators import markdown
+from quillspark.session import settled
 from quillspark.sources import readers, sinks
 
 # Statuses of a report in their order, and the names of its rows.
@@ -117,16 +119,22 @@ def converted(files: DataFrame, now: str, root: str = "/", done: DataFrame | Non
         "name": F.regexp_extract("source", r"([^/]+)$", 1), "parent": F.regexp_extract("source", r"([^/]+)/[^/]*$", 1), "rel_path": relative_path(F.col("source"), root),
     })
     f = f.withColumns({"stem": F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""), "ext": F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))})
-    listed = f.select(F.col("source").alias("path"), "rel_path", "name", "parent")
-    new = O.not_converted(listed, done).select(F.col("path").alias("source")) if done is not None else listed.select(F.col("path").alias("source"))
-    targets = O.target_names(f.select("source", "stem", "ext", "name").distinct()).select("source", "target")
-    image = F.col("ext").isin(*readers.IMAGES)
-    skipped = f.join(new, "source", "left_anti").select("source", F.lit("이미 변환됨").alias("message"))
+    # names alone decide what is done under which target; that is settled first, so that no text is planned or read for it
+    names = f.select("source", "stem", "ext", "name", "rel_path", "parent")
+    targets = settled(O.target_names(names.select("source", "stem", "ext", "name").distinct()).select("source", "target"))
+    skipped, fresh = [], names
+    if done is not None:
+        new = O.not_converted(names.select(F.col("source").alias("path"), "rel_path", "name", "parent"), done).select(F.col("path").alias("source"))
+        skipped.append(names.join(new, "source", "left_anti").select("source", F.lit("이미 변환됨").alias("message")))
+        fresh = names.join(new, "source", "left_semi")
     if skip_scanned:
-        skipped = skipped.unionByName(f.join(new, "source", "left_semi").where(image).select("source", F.lit("스캔/이미지 문서 제외 (OCR 생략)").alias("message")))
-    todo = f.join(skipped.select("source").distinct(), "source", "left_anti").join(targets, "source")
-    parsed = readers.parse(todo.select("path", "content")).withColumnRenamed("path", "p").drop("ext")
-    each = todo.drop("content").join(parsed, F.col("path") == F.col("p")).withColumn("doc", X.doc_id(F.col("source"), F.col("modificationTime").cast("string"), day))
+        skipped.append(fresh.where(F.col("ext").isin(*readers.IMAGES)).select("source", F.lit("스캔/이미지 문서 제외 (OCR 생략)").alias("message")))
+    todo, left = f, None
+    if skipped:
+        left = settled(reduce(DataFrame.unionByName, skipped).join(targets, "source"))
+        todo = f.join(left.select("source").distinct(), "source", "left_anti")
+    todo = todo.join(targets, "source").withColumns({"doc": X.doc_id(F.col("source"), F.col("modificationTime").cast("string"), day), "suffix": F.col("ext")})
+    each = readers.parse(todo, "source", "name", "rel_path", "stem", "suffix", "target", "doc").withColumn("ext", F.col("suffix"))
     each = each.withColumns({"ok": F.col("status").isin("success", "partial"), "reason": F.coalesce(F.col("error"), F.col("status"))}).withColumn("body", markdown.refined_plain(F.col("body")))
     each = each.withColumns({"title": M.title(F.col("body"), F.col("name")), "summary": M.summary(F.col("body")), "language": X.language(F.col("body")), "entities": M.entities(F.col("body"))})
     each = each.withColumns({"study": X.study_material(F.col("body"), F.concat_ws(" ", "source", "title")), "category": M.category(F.col("body"), F.col("name"), F.col("source"))})
@@ -149,8 +157,9 @@ def converted(files: DataFrame, now: str, root: str = "/", done: DataFrame | Non
     row = F.struct("source", "target", "status", F.when(~F.col("ok"), F.col("reason")).alias("message"), F.when(~F.col("ok"), F.concat(front_matter(failed), note)).alias("failed"))
     raw = each.select(row.alias("row"), F.when(F.col("ok"), F.concat(front_matter(values), lit("\n"), body(values, F.col("body")))).otherwise("").alias("text"))
     fine = markdown.refined_markdown(raw, "row").select("row.source", "row.target", "row.status", "row.message", F.coalesce("row.failed", "text").alias("markdown"))
-    left = skipped.join(targets, "source").select("source", "target", F.lit("skip").alias("status"), "message", F.lit(None).cast("string").alias("markdown"))
-    return fine.unionByName(left)
+    if left is None:
+        return fine
+    return fine.unionByName(left.select("source", "target", F.lit("skip").alias("status"), "message", F.lit(None).cast("string").alias("markdown")))
 
 
 def _kind(ext: Column) -> Column:

@@ -180,3 +180,11 @@ def test_rows_of_a_page_are_cleaned_once(spark):
     rows = scans.page_rows(spark.createDataFrame([("a", 1, "Some words of a line", 0.9, 60.0, 120.0, 500.0, 132.0, 595.0, 842.0), ("a", 1, "|", 0.9, 60.0, 180.0, 70.0, 192.0, 595.0, 842.0)], scans.LINES))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
     assert [r.text for r in rows.collect()] == ["Some words of a line"]
+
+
+def test_files_are_planned_once_and_each_has_its_row(spark):
+    rows = [("/in/a.txt", b"First file of two words and more.", 1), ("/in/a.txt", b"First file of two words and more.", 1), ("/in/b.png", b"x", 2)]
+    files = spark.createDataFrame(rows, "path string, content binary, t int").selectExpr("path", "content", "timestamp_seconds(t) AS modificationTime")
+    out = documents.converted(files, "2026-01-01T00:00:00Z", "/in")
+    assert out._jdf.queryExecution().analyzed().collectLeaves().size() <= 2
+    assert sorted((r.source, r.target, r.status) for r in out.collect()) == [("/in/a.txt", "a.md", "success")] * 2 + [("/in/b.png", "b.md", "unsupported_format")]
