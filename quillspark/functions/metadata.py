@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from quillspark.functions import prose
 from quillspark.functions import text as X
 
 # Labels of structure that are no titles, and words that are no tags.
@@ -147,3 +149,110 @@ def tags(c: Column, title: Column, category: Column, study: Column | None = None
     """At most `most` tags, distinct without regard to case; topics and key words are their first ones."""
     study = F.coalesce(study, F.lit(False)) if study is not None else F.lit(False)
     return _tags(X.text(c), X.text(title), X.text(category), study, F.lit(most))
+
+
+# The same of one text, in plain Python, for whole documents in one call.
+_labels = tuple(LABELS)
+_no_title = re.compile(r"[-*|>\[]|```|http|값").match
+_structural = re.compile(r"PART|CHAPTER|SECTION|제\s*\d+\s*[장절편]|부록|페이지|슬라이드|시트", re.IGNORECASE | re.ASCII).match
+_not_plain = re.compile(r"[#\-*|>\[]|```|http|값|ISBN|PART|CHAPTER|SECTION|부록|감사의").match
+_stem = [re.compile(p) for p in STEM]
+_rest = "[^\n\r\x85\u2028\u2029]+"
+_signed = re.compile(rf">\s*(?:📌|🎯)\s*\*\*(?:핵심\s*요약|Executive\s*Summary|AI[^*:]*요약)[^*:]*\*\*:?\s*({_rest})", re.IGNORECASE | re.ASCII)
+_section = re.compile(r"^#\s*한줄\s*요약\s*\n(.*?)(?=^#\s|\Z)", re.MULTILINE | re.DOTALL | re.ASCII)
+_bullet = re.compile(r"^\s*[-*]\s*", re.MULTILINE | re.ASCII)
+_one_line = re.compile(rf"\*\*한줄\s*요약\*\*\s*\n+>\s*({_rest})", re.ASCII)
+_pinned = re.compile(r">\s*📌\s*(?:\*\*[^*]+(?::\*\*|\*\*:)\s*|\[[^\]\n]+\]:\s*)?([^\n]+)", re.ASCII)
+_study = re.compile(rf"\b(?:{X.STUDY_PATTERN})\b").search
+_companies = re.compile(r"(?:주식회사\s+|㈜|\(주\))([가-힣A-Za-z0-9]+)", re.ASCII)
+_suffixes = ["위원회", "공사", "진흥원", "협회", "재단", "연구원", "은행", "대학", "본부", "센터"]
+_words = re.compile("[가-힣A-Za-z0-9]{3,}")
+_acronyms = re.compile("[A-Z]{2,}(?:[-_][A-Z0-9]+)*")
+_not_latin = bytes(x for x in range(256) if not chr(x).isalpha() or x > 127)
+
+
+def strip_cite_of(text: str) -> str:
+    text = prose.strip(text)
+    return prose.strip(prose.strip(_cite.sub("", text) if "[" in text else text).rstrip("."))
+
+
+def file_title_of(name: str) -> str:
+    out = stem = re.sub(r"(?<=.)\.[^.]*$", "", name)
+    for p in _stem:
+        out = p.sub("", out)
+    return prose.strip(out) or stem
+
+
+def title_of(text: str, name: str) -> str:
+    for line in re.split("\r\n|\r|\n", text) if "\r" in text else text.split("\n"):
+        x = prose.strip(line)
+        if x.startswith("#") or (2 <= len(x) <= 60 and not _no_title(x)):
+            x = strip_cite_of(x.lstrip("#"))
+            if len(x) > 2 and not x.lower().startswith(_labels) and not _structural(x):
+                return x
+    return file_title_of(name)
+
+
+def _marked_summaries(text: str) -> Iterator[str]:
+    """What is marked as the summary, then the first two plain lines."""
+    found = lambda p: prose.strip(m[1]) if (m := p.search(text)) else ""
+    pin = "📌" in text
+    if pin or "🎯" in text:
+        yield found(_signed)
+    if "한줄" in text:
+        yield prose.strip(_bullet.sub("", found(_section)).partition("\n")[0])
+        yield found(_one_line)
+    if pin:
+        yield found(_pinned)
+    plain = (x for x in map(prose.strip, text.split("\n")) if x and not _not_plain(x))
+    yield " ".join(islice(plain, 2))
+
+
+def summary_of(text: str, most: int = 220) -> str:
+    return strip_cite_of(next(filter(None, _marked_summaries(text)), ""))[:most] or NO_SUMMARY
+
+
+def study_of(text: str, name: str) -> bool:
+    name, head = name.lower(), text[:3000].lower()
+    has = lambda words: any(w in name for w in words)
+    tech = has(X.TECH_WORDS)
+    if tech and not has(X.STUDY_TITLES):
+        return False
+    return has(X.STUDY_WORDS) or bool(_study(name)) or (not tech and sum(w in head for w in X.STUDY_CUES) >= 2)
+
+
+def category_of(text: str, name: str, path: str) -> str:
+    both = f"{path} {name}"
+    if study_of(text, both):
+        return STUDY
+    x = f"{both} {text[:3000]}".lower()
+    return next((label for label, words in X.CATEGORIES if any(w in x for w in words)), X.DEFAULT_CATEGORY)
+
+
+def language_of(text: str) -> str:
+    latin = len(text.encode("utf-8", "surrogatepass").translate(None, _not_latin))
+    ko = 0 if text.isascii() else sum(map(len, re.findall("[가-힣]+", text)))
+    share = ko / (ko + latin) if ko + latin else 1.0
+    return "ko" if share > 0.7 else "en" if share < 0.2 else "mixed"
+
+
+def _names(text: str) -> Iterator[str]:
+    """Companies, organisations, acronyms; an organisation's name ends where its word has a suffix last."""
+    if "주식회사" in text or "㈜" in text or "(주)" in text:
+        yield from _companies.findall(text)
+    if any(x in text for x in _suffixes):
+        for word in _words.findall(text):
+            at, n = max((word.rfind(x, 1), len(x)) for x in _suffixes)
+            if at > 0:
+                yield word[: at + n]
+    yield from (m[0] for m in _acronyms.finditer(text))
+
+
+def entities_of(text: str, most: int = 6) -> list[str]:
+    found: dict[str, None] = {}
+    for name in _names(text):
+        if len(found) == most:
+            break
+        if len(name) >= 2 and name not in _stop:
+            found[name] = None
+    return sorted(found)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import metadata as M
+from quillspark.functions import prose
 from quillspark.functions import text as X
 from quillspark.operators import corpus as O
 from quillspark.operators import markdown
@@ -60,24 +61,57 @@ def front_matter(values: dict[str, Column], extra: dict[str, Column] | None = No
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *fields), F.lit("\n---\n"))
 
 
-def body(values: dict[str, Column], content: Column, tables: Column | None = None) -> Column:
-    """Title, overview, content without a repeated title, tables, quality notes and origin, tidied."""
-    v = lambda key, default="": F.coalesce(values[key].cast("string"), F.lit(default)) if key in values else F.lit(default)
-    notes = lambda head, *rows: F.concat_ws("\n", F.lit(f"## {head}\n"), *(F.concat(F.lit(f"- {name}: "), x) for name, x in rows), F.lit(""))
-    topics = F.coalesce(F.nullif(F.array_join(values["topics"], ", "), F.lit("")), F.lit("일반")) if "topics" in values else F.lit("일반")
-    content, first = X.strip(X.text(content)), F.regexp_extract(X.strip(X.text(content)), r"\A[^\n]*", 0)
-    repeated = first.startswith("# ") & F.contains(first, v("title"))
-    content = F.when(repeated, X.strip(F.regexp_replace(content, r"\A[^\n]*\n?", ""))).otherwise(content)
-    section = lambda head, x: F.when(x != "", F.concat(F.lit(f"## {head}\n\n"), x, F.lit("\n")))
+def front_text(values: dict[str, str | list[str]]) -> str:
+    """front_matter() of one document."""
+    lines = []
+    for key, kind, default in FIELDS:
+        value = values.get(key)
+        if kind in (TAGS, LIST):
+            lines.append(f"{key}:" + "".join(f"\n  - {x if kind == TAGS else sinks.quoted_text(x)}" for x in value) if value else f"{key}: []")
+        elif value is not None or default is not None:
+            value = default if value is None else value
+            lines.append(f"{key}: {sinks.quoted_text(value) if kind in (TEXT, QUOTED) else value}")
+    return "---\n" + "\n".join(lines) + "\n---\n"
+
+
+def body(values: dict[str, str | list[str]], content: str) -> str:
+    """Title, overview, content without a repeated title, quality notes and origin, tidied."""
+    v = lambda key, default="": values.get(key) or default
+    notes = lambda head, *rows: "\n".join([f"## {head}\n", *(f"- {name}: {x}" for name, x in rows), ""])
+    content = prose.strip(content)
+    first, _, rest = content.partition("\n")
+    if first.startswith("# ") and v("title") in first:
+        content = prose.strip(rest)
     parts = [
-        F.concat(F.lit("# "), v("title"), F.lit("\n")),
-        notes("문서 개요", ("원본 파일명", v("source_file")), ("문서 유형", v("category")), ("작성·시행일자", v("created_at")), ("주요 주제", topics), ("핵심 요약", v("summary"))),
-        section("본문 내용", content),
-        section("표 및 데이터", X.strip(X.text(tables)) if tables is not None else F.lit("")),
-        notes("추출 품질 및 검토 사항", ("OCR 신뢰도", v("ocr_confidence", "unknown")), ("인식 불명확 구간", v("unrecognized_areas", "없음")), ("원본 구조 손상 가능성", v("structural_damage_risk", "낮음")), ("추가 확인 필요 사항", v("action_items", "없음"))),
+        f"# {v('title')}\n",
+        notes("문서 개요", ("원본 파일명", v("source_file")), ("문서 유형", v("category")), ("작성·시행일자", v("created_at")), ("주요 주제", ", ".join(v("topics", [])) or "일반"), ("핵심 요약", v("summary"))),
+        *([f"## 본문 내용\n\n{content}\n"] if content else []),
+        notes("추출 품질 및 검토 사항", ("OCR 신뢰도", v("ocr_confidence", "unknown")), ("인식 불명확 구간", "없음"), ("원본 구조 손상 가능성", "낮음"), ("추가 확인 필요 사항", "없음")),
         notes("원본 정보", ("원본 파일", v("source_file")), ("원본 경로", v("source_path")), ("변환 방식", v("conversion_method", "native")), ("생성일시", v("created_at"))),
     ]
-    return X.tidy(F.concat_ws("\n\n", *parts))
+    return prose.tidy("\n\n".join(parts))
+
+
+def document(f: dict, raw: bytes | None, now: str, chain: list[readers.Reader]) -> tuple[str, str | None, str]:
+    """status, message, markdown of a file: source, name, rel_path, stem, ext, suffix, target, doc."""
+    status, _, text, error = readers.convert(f["suffix"], raw, chain)
+    values = {
+        "source": f["name"], "source_file": f["name"], "source_path": f["source"], "source_rel_path": f["rel_path"], "source_type": readers.TYPES.get(f["ext"], f["ext"]),
+        "created": now[:10], "converted": now[:10], "created_at": now, "updated_at": now, "status": status, "id": f["doc"], "converted_from": f".{f['ext']}", "output_file": f["target"],
+    }
+    if status not in ("success", "partial"):
+        reason = error or status
+        values |= {"title": f["stem"], "summary": "변환 실패 문서", "description": "변환 실패 문서", "conversion_method": "none", "errors": [reason]}
+        return status, reason, f"{front_text(values)}\n# {f['stem']}\n\n> [!CAUTION]\n> 변환 실패: {reason}\n"
+    text = prose.refine(text)
+    title, summary, category = M.title_of(text, f["name"]), M.summary_of(text), M.category_of(text, f["name"], f["source"])
+    study = M.study_of(text, f"{f['source']} {title}")
+    tags = M.tags_of(text, title, category, study)
+    values |= {
+        "title": title, "category": category, "type": "english_learning" if study else "document", "topic": tags[0] if tags else "일반", "summary": summary, "description": summary, "tags": tags,
+        "language": M.language_of(text), "doc_category": category, "topics": tags[:3] or ["일반"], "keywords": tags[:5] or ["문서"], "entities": M.entities_of(text), "conversion_method": "native",
+    }
+    return status, None, markdown.cleaned(f"{front_text(values)}\n{body(values, text)}")
 
 
 def normal_path(c: Column) -> Column:
@@ -133,40 +167,26 @@ def converted(files: DataFrame, now: str, root: str = "/", done: DataFrame | Non
     if skipped:
         left = settled(reduce(DataFrame.unionByName, skipped).join(targets, "source"))
         todo = f.join(left.select("source").distinct(), "source", "left_anti")
-    todo = todo.join(targets, "source").withColumns({"doc": X.doc_id(F.col("source"), F.col("modificationTime").cast("string"), day), "suffix": F.col("ext")})
-    each = readers.parse(todo, "source", "name", "rel_path", "stem", "suffix", "target", "doc").withColumn("ext", F.col("suffix"))
-    each = each.withColumns({"ok": F.col("status").isin("success", "partial"), "reason": F.coalesce(F.col("error"), F.col("status"))}).withColumn("body", markdown.refined_plain(F.col("body")))
-    each = each.withColumns({"title": M.title(F.col("body"), F.col("name")), "summary": M.summary(F.col("body")), "language": X.language(F.col("body")), "entities": M.entities(F.col("body"))})
-    each = each.withColumns({"study": X.study_material(F.col("body"), F.concat_ws(" ", "source", "title")), "category": M.category(F.col("body"), F.col("name"), F.col("source"))})
-    each = each.withColumn("tags", M.tags(F.col("body"), F.col("title"), F.col("category"), F.col("study")))
-    some, lit = F.size("tags") > 0, F.lit
-    each = each.withColumns({"topics": F.when(some, F.slice("tags", 1, 3)).otherwise(F.array(lit("일반"))), "keywords": F.when(some, F.slice("tags", 1, 5)).otherwise(F.array(lit("문서")))})
-    common = {
-        "source": F.col("name"), "source_file": F.col("name"), "source_path": F.col("source"), "source_rel_path": F.col("rel_path"), "source_type": _kind(F.col("ext")),
-        "created": lit(now[:10]), "converted": lit(now[:10]), "created_at": lit(now), "updated_at": lit(now), "status": F.col("status"), "id": F.col("doc"),
-        "converted_from": F.concat(lit("."), "ext"), "output_file": F.col("target"),
-    }
-    values = common | {
-        "title": F.col("title"), "category": F.col("category"), "type": F.when(F.col("study"), "english_learning").otherwise("document"), "topic": F.get("topics", lit(0)),
-        "summary": F.col("summary"), "description": F.col("summary"), "tags": F.col("tags"), "language": F.col("language"), "doc_category": F.col("category"),
-        "topics": F.col("topics"), "keywords": F.col("keywords"), "entities": F.col("entities"), "conversion_method": lit("native"),
-    }
-    failed = common | {"title": F.col("stem"), "summary": lit("변환 실패 문서"), "description": lit("변환 실패 문서"), "conversion_method": lit("none"), "errors": F.array("reason")}
-    note = F.concat(lit("\n# "), F.col("stem"), lit("\n\n> [!CAUTION]\n> 변환 실패: "), F.col("reason"), lit("\n"))
-    # one pass for all files: what is said of a failed one travels beside the text that is cleaned, which it doesn't have
-    row = F.struct("source", "target", "status", F.when(~F.col("ok"), F.col("reason")).alias("message"), F.when(~F.col("ok"), F.concat(front_matter(failed), note)).alias("failed"))
-    raw = each.select(row.alias("row"), F.when(F.col("ok"), F.concat(front_matter(values), lit("\n"), body(values, F.col("body")))).otherwise("").alias("text"))
-    fine = markdown.refined_markdown(raw, "row").select("row.source", "row.target", "row.status", "row.message", F.coalesce("row.failed", "text").alias("markdown"))
+    todo = todo.join(targets, "source").withColumns({
+        "doc": X.doc_id(F.col("source"), F.col("modificationTime").cast("string"), day), "suffix": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)),
+    })
+    chains = dict(readers.READERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.drop_columns(["content"]).to_pylist()
+            done = [document(f, raw.as_py(), now, chains.get(f["suffix"], [])) for f, raw in zip(rows, b["content"])]
+            cols = list(zip(*done)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([b["source"], b["target"], *(pa.array(c, pa.string()) for c in cols)], ["source", "target", "status", "message", "markdown"])
+
+    # one pass for all files: from bytes to the Markdown that is written, each in one call
+    fields = ["source", "name", "rel_path", "stem", "ext", "suffix", "target", "doc", "content"]
+    fine = todo.select(fields).mapInArrow(run, "source string, target string, status string, message string, markdown string")
     if left is None:
         return fine
     return fine.unionByName(left.select("source", "target", F.lit("skip").alias("status"), "message", F.lit(None).cast("string").alias("markdown")))
 
 
-def _kind(ext: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for k, v in readers.TYPES.items() for x in (k, v)])
-    return F.coalesce(F.element_at(table, ext), ext)
-
-
 def write(docs: DataFrame, out_dir: str) -> DataFrame:
     """Writes each document to its target in a folder that all executors reach; source, target, status, message of every row.
 

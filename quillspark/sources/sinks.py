@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,15 @@ def quoted(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"^\{\"v\":(.*)\}$", 1)
 
 
+_escaped = re.compile('["\\\\\x00-\x1f]')
+_escapes = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def quoted_text(text: str) -> str:
+    """quoted() of one text."""
+    return '"' + _escaped.sub(lambda m: _escapes.get(m[0]) or f"\\u{ord(m[0]):04X}", text) + '"'
+
+
 def front_matter(fields: dict[str, Column], lists: dict[str, Column]) -> Column:
     """Fields in order, then lists of quoted items; an empty or null list is []."""
     parts = [F.concat(F.lit(f"{k}: "), quoted(F.coalesce(v.cast("string"), F.lit("")))) for k, v in fields.items()]
