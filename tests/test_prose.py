@@ -8,7 +8,7 @@ from quillspark.functions import korean, prose
 from quillspark.functions import metadata as M
 from quillspark.functions import text as X
 from quillspark.functions.unicode import nfkc
-from quillspark.sources import documents, sinks
+from quillspark.sources import documents, readers, sinks
 from tests.test_korean import FIX, KEEP
 
 PARTS = [
@@ -47,3 +47,9 @@ def test_files_are_converted_in_one_call_each(spark):
     files = spark.createDataFrame([("/in/a.txt", b"First file.", 1)], "path string, content binary, t int").selectExpr("path", "content", "timestamp_seconds(t) AS modificationTime")
     plan = documents.converted(files, "2026-01-01T00:00:00Z", "/in")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") <= 2 and len(plan) < 50_000
+
+
+def test_long_runs_of_letters_take_no_longer_than_their_length():
+    f = {"source": "/in/a.txt", "name": "a.txt", "rel_path": None, "stem": "a", "ext": "txt", "suffix": "txt", "target": "a.md", "doc": "d"}
+    for text in ("a" * 300_000, "1" * 300_000, "x" + " " * 200_000 + "y"):  # the first took minutes by its square
+        assert documents.document(f, text.encode(), "2026-01-01T00:00:00Z", readers.READERS["txt"])[0] == "success"
